@@ -99,8 +99,8 @@ def checked(steps: DataFrame, current: DataFrame, table: Table, tolerant: bool)
     settled = _same(F.col("found"), F.col("state"), n)
     strict = F.when(F.col("role").isin("insert", "arrive"), absent).otherwise(meets)
     fine = strict
-    if tolerant:
-        fine = strict | F.when(F.col("role").isin("insert", "update", "arrive"), settled).otherwise(absent)
+    if tolerant:  # but for changes of the key, which must find what they expect
+        fine = strict | F.when(F.col("role").isin("insert", "update"), settled).otherwise((F.col("role") == "delete") & absent)
     last = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("sequence"), F.desc("step"))) == 1
     return rows.withColumn("fine", fine).withColumn("last", last)
 
