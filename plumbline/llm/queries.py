@@ -81,7 +81,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM t JOIN g ON t.text = g.text""",
     "op10_jaccard_join": r"""
         WITH RECURSIVE w AS (
-          SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         s AS (
           SELECT DISTINCT doc_id, list_aggregate(list_slice(ws, i, i + 3), 'string_agg', ' ') AS g
           FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
