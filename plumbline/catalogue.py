@@ -6,6 +6,8 @@ operator isn't a query (constraints, triggers, replay), its inputs are.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +23,10 @@ from plumbline.plans.model import Action, Assignment, Column, Constraint, Domain
 from plumbline.plans.objects import parse_trigger
 from plumbline.plans.parser import parse_expression, parse_query
 from plumbline.sources.inspect import inspect_ddl, inspect_frames
+from plumbline.sources.store import Store
 from plumbline.streaming import journal as journals
 from plumbline.streaming import replay
+from plumbline.streaming.stream import journal_stream, replay_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -507,6 +511,43 @@ def q_replay_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["q_replay_conflict"] = q_replay_conflict
 ORACLE_SQL["q_replay_conflict"] = "SELECT o_orderkey, o_orderstatus AS expected, '?' AS found FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus <> '?' AND (o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 AND o_orderstatus <> 'N')"
 
+# --------------------------------------------------------------------------- stores and streams
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that the cluster shares; a temporary one where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='plumbline-')).rstrip('/')}/stores/{uuid.uuid4().hex}"
+
+
+def q_snapshot_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table after it went through a canonical snapshot into another store."""
+    old, _ = _states(spark, sf_dir)
+    folder = _folder(spark)
+    source, copy = Store(spark, f"{folder}/a", SOURCE), Store(spark, f"{folder}/b", Target("postgres", Version(17)))
+    source.put_tables(KEYED, {"orders": old})
+    copy.import_snapshot(source.export_snapshot(KEYED))
+    return copy.table("orders")
+
+
+QUERIES["q_snapshot_copy"] = q_snapshot_copy
+ORACLE_SQL["q_snapshot_copy"] = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"
+
+
+def q_stream_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after a stream of all captured changes has been drained into it."""
+    old, changes = _journal(spark, sf_dir)
+    folder = _folder(spark)
+    store = Store(spark, f"{folder}/a", Target("postgres", Version(17)))
+    store.put_tables(KEYED, {"orders": old})
+    changes.write.parquet(f"{folder}/in")
+    replay_stream(journal_stream(spark, f"{folder}/in", 1 << 20), store, KEYED, f"{folder}/check").awaitTermination()
+    return store.table("orders")
+
+
+QUERIES["q_stream_drain"] = q_stream_drain
+ORACLE_SQL["q_stream_drain"] = _AFTER
+
 # --------------------------------------------------------------------------- audit and inspection
 
 
