@@ -33,8 +33,8 @@ def source_column(target: Target) -> Column:
 def capture(schema: Schema, table: Table, old: DataFrame, new: DataFrame, target: Target, after_sequence: int = 0, origin: str = "", transaction: str = "") -> DataFrame:
     """Journal rows that turn ``old`` into ``new``: one full outer join on the primary key.
 
-    A row whose key changes is a delete and an insert. Sequences follow the
-    key's text; they are dense within ranges that Spark sorts in parallel.
+    A row whose key changes is a delete and an insert. Sequences are consecutive
+    and depend on the keys alone, so a task that runs again gives the same ones.
     """
     key = table.primary_key
     if not key:
@@ -69,12 +69,16 @@ def capture(schema: Schema, table: Table, old: DataFrame, new: DataFrame, target
     )
 
 
-def numbered(rows: DataFrame, order: str, start: int) -> DataFrame:
-    """Consecutive sequences in the order of a column, without one task for all rows:
-    a range partitioning, the sizes of its parts, and a row number in each."""
-    parts = rows.repartitionByRange(order).withColumn("part", F.spark_partition_id())
-    inside = parts.withColumn("place_in_part", F.row_number().over(Window.partitionBy("part").orderBy(order)))
-    sizes = inside.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+#: Parts in which changes are numbered at the same time.
+PARTS = 1024
+
+
+def numbered(rows: DataFrame, key: str, start: int) -> DataFrame:
+    """Consecutive sequences without one task for all rows: parts by a hash of the
+    (unique) key, a row number in each, and a running sum over the parts' sizes."""
+    parts = rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
+    inside = parts.withColumn("place_in_part", F.row_number().over(Window.partitionBy("part").orderBy(key)))
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
     bases = sizes.withColumn("base", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
     return inside.join(bases, "part").withColumn("sequence", F.lit(start) + F.col("base") + F.col("place_in_part")).drop("part", "place_in_part", "base")
 
