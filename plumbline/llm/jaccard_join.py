@@ -16,12 +16,24 @@ How it finds links without comparing all pairs:
    differing elements, hence some ``n2 - k2`` of its sub-ranges agree. A
    signature is the hash of one such choice, so linked sets share one.
 3. Where few documents share a signature, all their pairs are candidates.
-   Where more than ``SMALL_RUN`` do, each is compared with the smallest one
-   only; if that leaves the run in more than one component, its documents go
-   to the next level, whose signatures (larger ``k2``) ask for more agreement.
-   The last level compares all that remain, so no link is lost at any size.
-4. Candidates are verified on the whole sets. Of those, first one for each
-   document, then those between components that are still apart.
+   Where more than ``SMALL_RUN`` do, each is compared with one centre only. If
+   that leaves the run in more than one component, which happens where documents
+   share a passage or are distant copies of one text, its documents are signed
+   again by prefixes: elements in the order of their frequency among these
+   documents, rarest first. Two linked sets of n and m elements share at least
+   ``o = ceil(percent * (n + m) / (100 + percent))``, so one of the first
+   ``n - o + 1`` of each; m is known but for the width of a narrow band. Elements
+   of one document alone come first in that order, and use up the prefix of a
+   document that has too many of them to link with anything; a shared passage
+   comes last. The centre of a run is the document with the fewest elements of
+   its own. The runs that are still unsettled then, of distant copies of one
+   text, are compared whole: in blocks of bounded size, of which each pair is one
+   product of matrices (documents by elements), and which give only links that
+   join components. So no link is lost at any size, and no pairs are listed.
+4. Candidates are verified, first one for each document, then those between
+   components that are still apart. A sketch of each set, its numbers of elements
+   in 64 or 256 ranges, bounds the distance of a pair from below; texts are read
+   and whole sets compared only for pairs that this bound doesn't settle.
 
 Elements are 64-bit hashes of shingles; two different shingles of a pair meet
 by chance with a probability of about 1e-13 for texts of a thousand words.
@@ -37,23 +49,30 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.scratch import written
+from plumbline.llm.scratch import texts_of, written
 from plumbline.llm.textbatch import LOWER, SLICE_BYTES, Texts, U, mix, salted, shingles, slices, words
 
-#: (k2, n2) of each level.
-LEVELS = ((0, 1), (1, 3), (2, 5))
+#: k2 and n2: differing elements allowed in a range, and its sub-ranges.
+K2, N2 = 0, 1
 #: Runs up to this length give all their pairs.
 SMALL_RUN = 8
+#: Ranges of a sketch, and of that of a set of at least so many elements.
+FEW, MANY, LARGE_SET = 64, 256, 2000
 #: Members compared with one reading of their centre.
 CHUNK = 64
+#: Members and elements of a block of a run at most (on average), and elements in a matrix at a time.
+BLOCK, ELEMENTS, COLUMNS = 1024, 1 << 18, 4096
+#: Ratio of the bounds of size bands for prefixes.
+WIDTH = 1.05
 #: Up to so many ids are broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
-EDGE = pa.schema({"kind": pa.int32(), "sig": pa.int64(), "a": pa.int64(), "b": pa.int64()})
+EDGE = pa.schema({"kind": pa.int32(), "sig": pa.int64(), "a": pa.int64(), "b": pa.int64(), "rank": pa.int64()})
+EDGES = "kind int, sig bigint, a bigint, b bigint, rank bigint"
 
 
 @dataclass(frozen=True)
@@ -87,6 +106,22 @@ def element_sets(texts: Texts, size: int) -> list[np.ndarray]:
     return out
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """Numbers of elements in equal ranges of the domain, two bytes each."""
+    n = MANY if len(elements) >= LARGE_SET else FEW
+    inner = np.arange(1, n, dtype=U) << U(64 - n.bit_length() + 1)
+    counts = np.diff(np.concatenate([[0], np.searchsorted(elements, inner), [len(elements)]]))
+    return np.minimum(counts, 65535).astype("<u2").tobytes()
+
+
+def least_distance(one: bytes, two: bytes) -> int:
+    """A lower bound of the number of elements that only one of two sets has."""
+    a, b = (np.frombuffer(x, "<u2").astype(np.int64) for x in (one, two))
+    if len(a) != len(b):
+        a, b = (x.reshape(FEW, -1).sum(axis=1) for x in (a, b))
+    return int(np.abs(a - b).sum())
+
+
 def _fingerprints(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -97,7 +132,8 @@ def _fingerprints(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 one = np.array([mix(x ^ salted(11)).sum() for x in sets], U)
                 two = np.array([mix(x ^ salted(12)).sum() for x in sets], U)
             packed = [pack.compress(texts.raw(i)) if n[i] else None for i in range(len(texts))]
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(packed, pa.binary())], names=["doc_id", "n", "h1", "h2", "packed"])
+            sketches = [sketch(x) if len(x) else None for x in sets]
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(packed, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "n", "h1", "h2", "packed", "sketch"])
 
     return run
 
@@ -148,93 +184,147 @@ class Bands:
 def _ranges(k: int, k2: int, n2: int) -> tuple[int, int, np.ndarray]:
     """Ranges n1, spare ranges, and the lower bounds of all sub-ranges.
 
-    Some ``1 + spare`` ranges have at most k2 differences. A set in which at
-    most ``spare`` ranges have an empty choice can thus leave empty choices
-    out: another choice is shared. Without that, all small sets would meet in
-    the signatures of nothing.
+    ``1 + spare`` ranges have at most k2 differences, so linked sets share as many
+    signatures. Each set leaves out its ``spare`` weakest ones, in an order of what
+    they stand for (fewest elements first): of the shared ones, the last in that
+    order has ``spare`` before it in either set, so both keep it. This costs no
+    signatures, and those of one or no element, in which documents with a common
+    passage would meet, are hardly ever left.
     """
-    spare = 1 + k // 40
+    spare = 1 + 3 * k // 10
     n1 = k // (k2 + 1) + 1 + spare
     m = n1 * n2
     return n1, spare, np.array([(j << 64) // m for j in range(1, m)], U)
 
 
-def signatures(elements: np.ndarray, bands: Bands, level: int) -> np.ndarray:
+def signatures(elements: np.ndarray, bands: Bands, k2: int = K2, n2: int = N2) -> np.ndarray:
     """PartEnum signatures of one set (ascending distinct hashes)."""
-    k2, n2 = LEVELS[level]
     own = bands.of(len(elements))
     if not own:
         return np.zeros(0, U)
     out = []
     with np.errstate(over="ignore"):
-        if level:
-            elements = np.sort(mix(elements ^ salted(100 + level)))
         total = np.concatenate([np.zeros(1, U), np.cumsum(mix(elements ^ salted(200)), dtype=U)])
         for band, k in own:
             n1, spare, lower = _ranges(k, k2, n2)
             at = np.concatenate([[0], np.searchsorted(elements, lower), [len(elements)]])
             sums = np.diff(total[at]).reshape(n1, n2)
-            full = (np.diff(at) > 0).reshape(n1, n2)
+            held = np.diff(at).reshape(n1, n2)
             chosen = [list(c) for c in combinations(range(n2), n2 - k2)]
-            hashes = np.stack([mix(sums[:, c].sum(axis=1, dtype=U) + (np.arange(n1, dtype=U) * U(len(chosen)) + U(j)) * salted(300 + level) + U(band) * salted(400)) for j, c in enumerate(chosen)], axis=1)
-            some = np.stack([full[:, c].any(axis=1) for c in chosen], axis=1)
-            out.append(hashes.ravel() if (~some).any(axis=1).sum() > spare else hashes[some])
+            hashes = np.stack([mix(sums[:, c].sum(axis=1, dtype=U) + (np.arange(n1, dtype=U) * U(len(chosen)) + U(j)) * salted(300) + U(band) * salted(400)) for j, c in enumerate(chosen)], axis=1).ravel()
+            number = np.stack([held[:, c].sum(axis=1) for c in chosen], axis=1).ravel()
+            out.append(hashes[np.lexsort((hashes, number))[spare:]])
     return np.concatenate(out)
 
 
-def _signed(rule: Rule, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (key, a, b, sig). A signature that more than SMALL_RUN documents of a
-    slice share goes on once (b = a); the others become edges to that one, with
-    a key of their own, so that no key gathers a large group."""
+SIGNED = "key bigint, a bigint, rank bigint, b bigint, sig bigint"
+
+
+def _combined(sig: np.ndarray, doc: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (key, a, rank, b, sig). A signature that more than SMALL_RUN documents of
+    a slice share goes on once (b = a), for the one of least rank; the others become
+    edges to that one, with a key of their own, so that no key gathers a large group."""
 
-    def rows(key: np.ndarray, a: np.ndarray, b: np.ndarray | None, sig: np.ndarray | None) -> pa.RecordBatch:
+    def rows(key: np.ndarray, a: np.ndarray, r: np.ndarray, b: np.ndarray | None, s: np.ndarray | None) -> pa.RecordBatch:
         none = pa.nulls(len(key), pa.int64())
-        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(a), none if b is None else pa.array(b), none if sig is None else pa.array(sig.view(np.int64))], names=["key", "a", "b", "sig"])
+        return pa.record_batch([pa.array(key.view(np.int64)), pa.array(a), pa.array(r), none if b is None else pa.array(b), none if s is None else pa.array(s.view(np.int64))], names=["key", "a", "rank", "b", "sig"])
+
+    if not len(sig):
+        return
+    order = np.lexsort((doc, rank, sig))
+    sig, doc, rank = sig[order], doc[order], rank[order]
+    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    length = np.diff(np.append(first, len(sig)))
+    hot = np.repeat(length > SMALL_RUN, length)
+    if hot.any():
+        centre, its_rank = np.repeat(doc[first], length), np.repeat(rank[first], length)
+        head = np.zeros(len(sig), bool)
+        head[first] = True
+        lead, rest = hot & head, hot & ~head
+        yield rows(sig[lead], doc[lead], rank[lead], doc[lead], sig[lead])
+        with np.errstate(over="ignore"):
+            yield rows(mix(doc[rest].view(U) + sig[rest]), doc[rest], its_rank[rest], centre[rest], sig[rest])
+    yield rows(sig[~hot], doc[~hot], rank[~hot], None, None)
+
+
+def _signed(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """PartEnum signatures of packed texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(rule.percent)
         for (ids,), texts in _unpacked(batches, ["doc_id"]):
-            signed = [signatures(x, bands, level) for x in element_sets(texts, rule.size)]
-            sig = np.concatenate([*signed, np.zeros(0, U)])
+            signed = [signatures(x, bands) for x in element_sets(texts, rule.size)]
             doc = np.repeat(ids, [len(x) for x in signed])
-            if not len(sig):
-                continue
-            order = np.lexsort((doc, sig))
-            sig, doc = sig[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            length = np.diff(np.append(first, len(sig)))
-            hot = np.repeat(length > SMALL_RUN, length)
-            centre = np.repeat(doc[first], length)
-            if hot.any():
-                head = np.zeros(len(sig), bool)
-                head[first] = True
-                lead, rest = hot & head, hot & ~head
-                yield rows(sig[lead], doc[lead], doc[lead], sig[lead])
-                with np.errstate(over="ignore"):
-                    yield rows(mix(doc[rest].view(U) + sig[rest]), doc[rest], centre[rest], sig[rest])
-            yield rows(sig[~hot], doc[~hot], None, None)
+            yield from _combined(np.concatenate([*signed, np.zeros(0, U)]), doc, np.zeros(len(doc), np.int64))
 
     return run
 
 
+def _elements(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(element, a) of packed texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (ids,), texts in _unpacked(batches, ["doc_id"]):
+            sets = element_sets(texts, rule.size)
+            yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids, [len(x) for x in sets]))], names=["element", "a"])
+
+    return run
+
+
+def _combine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key, doc, rank = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+        yield from _combined(key.view(U), doc, rank)
+
+
+def _band(size: Column) -> Column:
+    """The narrow band of a size; its least size is at least ``WIDTH ** band`` but for rounding."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(WIDTH)) + 1e-9).cast("int")
+
+
+def _by_prefix(nodes: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """Prefix signatures of ``nodes``. Elements of one document alone can't be shared;
+    they only move the others back, which their number tells."""
+    percent = rule.percent
+    each = nodes.mapInArrow(_elements(rule), "element bigint, a bigint")
+    shared = each.groupBy("element").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("a")
+    alone = F.col("n") - F.count("*").over(own)
+    placed = each.join(shared, "element").join(sizes, "a").select("element", "a", "n", alone.alias("alone"), (alone + F.row_number().over(own.orderBy("df", "element"))).alias("place"))
+    n = F.col("n")
+    fewest = F.ceil(n * percent / 100)  # of a partner
+
+    def reaches(band: Column) -> Column:
+        least = F.greatest(fewest, F.floor(F.pow(F.lit(WIDTH), band) * 0.999999))
+        return F.col("place") <= n - F.ceil((n + least) * percent / (100 + percent)) + 1
+
+    some = placed.where(F.col("place") <= n - fewest + 1)  # the longest prefix
+    partner = F.explode(F.filter(F.sequence(_band(fewest), _band(F.ceil(n * 100 / percent))), reaches)).alias("other")
+    rows = some.select("element", "a", "alone", _band(n).alias("band"), partner)
+    key = F.xxhash64("element", F.least("band", "other"), F.greatest("band", "other"))
+    return rows.select(key.alias("key"), "a", F.col("alone").alias("rank")).mapInArrow(_combine_rows, SIGNED)
+
+
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from rows sorted by key, then a. kind 0: a pair of a small
-    run; kind 1: a member and the centre of a large run, with its signature."""
+    """Candidate pairs from rows sorted by key, rank, a. kind 0: a pair of a small
+    run; kind 1: a member and the centre of a large run, with its signature. Only
+    the run at the end of a batch is held, and of a large run only its centre."""
 
-    def out(kind: int, sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), pa.array(sig), pa.array(a), pa.array(b)], schema=EDGE)
+    def out(kind: int, sig: np.ndarray, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), *map(pa.array, (sig, a, b, rank))], schema=EDGE)
 
     empty = np.zeros(0, np.int64)
-    key, a, marked = empty, empty, np.zeros(0, bool)
-    large: tuple[int, int] | None = None  # key and centre of a large run that may go on
+    key, a, rank, marked = empty, empty, empty, np.zeros(0, bool)
+    large: tuple[int, int, int] | None = None  # key, centre and its rank of a large run that may go on
 
     def close(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal key, a, marked, large
+        nonlocal key, a, rank, marked, large
         if large is not None and len(key):
             same = key == large[0]
-            if same.any():
-                yield out(1, key[same], a[same], np.full(same.sum(), large[1]))
-                key, a, marked = key[~same], a[~same], marked[~same]
+            n = int(same.sum())
+            if n:
+                yield out(1, key[same], a[same], np.full(n, large[1]), np.full(n, large[2]))
+                key, a, rank, marked = key[~same], a[~same], rank[~same], marked[~same]
             if len(key):
                 large = None
         if not len(key):
@@ -248,29 +338,29 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, length, any_marked = first[:-1], length[:-1], any_marked[:-1]
         big = (length > SMALL_RUN) | any_marked
         in_big = np.repeat(big, length)
-        k, x = key[:done], a[:done]
+        k, x, r = key[:done], a[:done], rank[:done]
         if in_big.any():
-            centre = np.repeat(x[first], length)
-            yield out(1, k[in_big], x[in_big], centre[in_big])
+            centre, its_rank = np.repeat(x[first], length), np.repeat(r[first], length)
+            yield out(1, k[in_big], x[in_big], centre[in_big], its_rank[in_big])
             if not last and big[-1] and done == len(key):
-                large = (int(k[-1]), int(centre[-1]))
-        k, x = k[~in_big], x[~in_big]
+                large = (int(k[-1]), int(centre[-1]), int(its_rank[-1]))
+        k, x, r = k[~in_big], x[~in_big], r[~in_big]
         for d in range(1, SMALL_RUN):
             both = np.flatnonzero((k[d:] == k[:-d]) & (x[d:] != x[:-d])) if len(k) > d else empty
             if not len(both):
                 break
-            yield out(0, k[both], np.maximum(x[both + d], x[both]), np.minimum(x[both + d], x[both]))
-        key, a, marked = key[done:], a[done:], marked[done:]
+            yield out(0, k[both], np.maximum(x[both + d], x[both]), np.minimum(x[both + d], x[both]), r[both])
+        key, a, rank, marked = key[done:], a[done:], rank[done:], marked[done:]
 
     for batch in batches:
-        b = batch.column(2)
+        b = batch.column(3)
         has_b = b.is_valid().to_numpy(zero_copy_only=False)
-        new_key, new_a = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        new_key, new_a, new_rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         new_b = b.fill_null(-1).to_numpy(zero_copy_only=False)
         edge = has_b & (new_a != new_b)
         if edge.any():
-            yield out(1, batch.column(3).fill_null(0).to_numpy(zero_copy_only=False)[edge], new_a[edge], new_b[edge])
-        key, a, marked = np.concatenate([key, new_key[~edge]]), np.concatenate([a, new_a[~edge]]), np.concatenate([marked, has_b[~edge]])
+            yield out(1, batch.column(4).fill_null(0).to_numpy(zero_copy_only=False)[edge], new_a[edge], new_b[edge], new_rank[edge])
+        key, a, rank, marked = (np.concatenate([old, new[~edge]]) for old, new in ((key, new_key), (a, new_a), (rank, new_rank), (marked, has_b)))
         yield from close(False)
     yield from close(True)
 
@@ -303,17 +393,116 @@ def _verified(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _verify(pairs: DataFrame, packed: DataFrame, rule: Rule) -> DataFrame:
+def _close_enough(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (a, n, one, b, m, two) whose sketches leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, n, one, b, m, two = (c.to_pylist() for c in batch.columns)
+            keep = [i for i in range(len(a)) if least_distance(one[i], two[i]) * (100 + rule.percent) <= (n[i] + m[i]) * (100 - rule.percent)]
+            yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Those of the pairs (a, b) that link. Each centre b is read once per CHUNK members."""
-    degree = pairs.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = written(pairs.join(degree, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk")), "dealt")
-    texts = _of(packed, dealt.select(F.col("a").alias("id")).unionByName(dealt.select(F.col("b").alias("id"))).distinct())
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sketches = _of(sets.select("doc_id", "n", "sketch"), ends)
+    one = sketches.select(F.col("doc_id").alias("a"), "n", F.col("sketch").alias("one"))
+    two = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("two"))
+    sized = pairs.join(one, "a").join(two, "b").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * rule.percent)
+    close = written(sized.select("a", "n", "one", "b", "m", "two").mapInArrow(_close_enough(rule), "a bigint, b bigint").distinct(), "close")
+    degree = close.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    dealt = written(close.join(degree, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk")), "dealt")
+    texts = _of(sets.select("doc_id", "packed"), dealt.select(F.col("a").alias("id")).unionByName(dealt.select(F.col("b").alias("id"))).distinct())
     members = dealt.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "chunk", F.lit(1).cast("bigint").alias("member"), "a", "packed")
     centres = dealt.select("b", "chunk").distinct().join(texts.withColumnRenamed("doc_id", "b"), "b").select("b", "chunk", F.lit(0).cast("bigint").alias("member"), F.col("b").alias("a"), "packed")
     rows = members.unionByName(centres).repartition("b", "chunk").sortWithinPartitions("b", "chunk", "member")
     return rows.mapInArrow(_verified(rule), "a bigint, b bigint").distinct()
 
 
+def _joined_by(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among the sets that join different roots, as a forest."""
+    n = np.array([len(x) for x in sets], np.float64)
+    every = np.concatenate(sets)
+    doc = np.repeat(np.arange(len(sets)), n.astype(np.int64))
+    order = np.argsort(every, kind="stable")
+    every, doc = every[order], doc[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]])
+    number = np.cumsum(new) - 1
+    twice = np.bincount(number)[number] > 1
+    doc, number = doc[twice], np.unique(number[twice], return_inverse=True)[1]
+    common = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(number.max(initial=-1)) + 1, COLUMNS):
+        lo, hi = np.searchsorted(number, (at, at + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[doc[lo:hi], number[lo:hi] - at] = 1
+        common += part @ part.T
+    linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    linked &= roots[:, None] != roots[None, :]
+    above: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while above.get(x, x) != x:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked))):
+        a, b = find(int(roots[i])), find(int(roots[j]))
+        if a != b:
+            above[a] = b
+            out.append((int(i), int(j)))
+    return out
+
+
+def _compare_blocks(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (sig, x, y, a, root, packed), sorted: one pair of blocks of a run after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple[int, int, int] | None = None
+        ids: list[int] = []
+        roots: list[int] = []
+        sets: list[np.ndarray] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(ids) > 1 and len(set(roots)) > 1:
+                found = _joined_by(sets, np.array(roots), rule.percent)
+                yield pa.record_batch([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], names=["a", "b"])
+            ids.clear()
+            roots.clear()
+            sets.clear()
+
+        for (sig, x, y, a, root), texts in _unpacked(batches, ["sig", "x", "y", "a", "root"]):
+            for i, elements in enumerate(element_sets(texts, rule.size)):
+                if (sig[i], x[i], y[i]) != key:
+                    yield from close()
+                    key = (sig[i], x[i], y[i])
+                ids.append(int(a[i]))
+                roots.append(int(root[i]))
+                sets.append(elements)
+        yield from close()
+
+    return run
+
+
+def _by_blocks(runs: DataFrame, packed: DataFrame, sizes: DataFrame, labels: DataFrame | None, rule: Rule) -> DataFrame:
+    """Links that join components, among all pairs of each run (sig, a)."""
+    member = runs.select("sig", "a").distinct()
+    parts = [F.sum(F.xxhash64("a", F.lit(i)).cast("decimal(20,0)")).alias(f"part{i}") for i in range(2)]
+    each = member.join(sizes, "a").groupBy("sig").agg(F.count("*").alias("members"), F.sum("n").alias("elements"), *parts)
+    # Of runs with the same members one is enough.
+    many = each.groupBy("members", "elements", "part0", "part1").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("elements") / ELEMENTS)).alias("blocks"))
+    own = F.pmod(F.xxhash64("a"), F.col("blocks"))
+    dealt = _labelled(member, labels).join(many, "sig").select("sig", "a", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    dealt = written(dealt.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "a", "root"), "blocks")
+    texts = _of(packed, dealt.select(F.col("a").alias("id")).distinct())
+    rows = dealt.join(texts.withColumnRenamed("doc_id", "a"), "a").select("sig", "x", "y", "a", "root", "packed")
+    return rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(_compare_blocks(rule), "a bigint, b bigint").distinct()
+
+
 def _of(packed: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``packed`` with these ids; a broadcast only of a counted, bounded set."""
     ids = written(ids, "ids").withColumnRenamed("id", "doc_id")
@@ -351,24 +540,32 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> JaccardClasses:
     with nothing; a row that occurs twice comes out twice; an empty table gives
     an empty result.
     """
-    sets = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_fingerprints(rule.size), "doc_id bigint, n bigint, h1 bigint, h2 bigint, packed binary"), "sets")
+    sets = written(texts_of(docs).mapInArrow(_fingerprints(rule.size), "doc_id bigint, n bigint, h1 bigint, h2 bigint, packed binary, sketch binary"), "sets")
     classes = written(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    packed = sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "packed")
+    usable = sets.where("n > 0 AND doc_id IS NOT NULL")
+    packed = usable.select("doc_id", "packed")
     nodes = packed.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id")
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    for level in range(len(LEVELS)):
-        signed = nodes.mapInArrow(_signed(rule, level), "key bigint, a bigint, b bigint, sig bigint")
-        found = written(signed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_edges, "kind int, sig bigint, a bigint, b bigint"), "found")
-        pairs = written(found.where("a <> b").groupBy("a", "b").agg(F.min("kind").alias("kind")), "pairs")
-        for last in (False, True):
+    sizes = classes.groupBy(F.col("class_id").alias("a")).agg(F.max("n").alias("n"))
+    signed = nodes.mapInArrow(_signed(rule), SIGNED)
+    for by_prefix in (False, True):
+        found = written(signed.repartition("key").sortWithinPartitions("key", "rank", "a").mapInArrow(_edges, EDGES), "found")
+        pairs = written(found.where("a <> b").groupBy("a", "b").agg(F.max("kind").alias("kind"), F.min("rank").alias("rank")), "pairs")
+        # First one candidate of each document (a centre if it has one), then what is still apart.
+        best = F.min_by("b", F.struct(-F.col("kind"), F.col("rank"), F.col("b"))).alias("b")
+        tried: DataFrame | None = None
+        for _ in range(2):
             left = _apart(pairs, labels)
-            left = left.where("kind = 0").select("a", "b") if last else left.groupBy("a").agg(F.min("b").alias("b"))
-            left = written(left, "left")
+            if tried is None:
+                left = left.groupBy("a").agg(best)
+            else:
+                left = left.where(F.lit(by_prefix) | (F.col("kind") == 0)).select("a", "b").join(tried, ["a", "b"], "left_anti")
+            tried = left = written(left, "left")
             if left.isEmpty():
                 break
-            new = written(_verify(left, packed, rule), "links")
+            new = written(_verify(left, usable, rule), "links")
             links = new if links is None else links.unionByName(new)
             if not new.isEmpty():
                 labels = components(links)
@@ -376,18 +573,12 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> JaccardClasses:
         unsettled = written(_apart(large, labels).select("sig").distinct(), "unsettled")
         if unsettled.isEmpty():
             break
-        run = written(large.join(unsettled, "sig", "left_semi"), "runs")
-        if level + 1 < len(LEVELS):
-            again = run.select(F.col("a").alias("id")).unionByName(run.select(F.col("b").alias("id"))).distinct()
-            nodes = _of(packed, again)
+        runs = written(large.join(unsettled, "sig", "left_semi"), "runs")
+        if not by_prefix:
+            again = runs.select(F.col("a").alias("id")).unionByName(runs.select(F.col("b").alias("id"))).distinct()
+            signed = _by_prefix(_of(packed, again), sizes, rule)
             continue
-        # What is left shares much and still doesn't link: all pairs between components.
-        sizes = classes.select(F.col("class_id").alias("a"), F.col("n"))
-        member = _labelled(run.select("sig", "a").distinct().join(sizes, "a"), labels)
-        other = member.select("sig", F.col("a").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-        close = F.least("n", "m") * 100 >= F.greatest("n", "m") * rule.percent
-        rest = member.join(other, "sig").where(F.col("a") > F.col("b")).where(F.col("root") != F.col("other")).where(close).select("a", "b").distinct()
-        new = written(_verify(rest, packed, rule), "links")
+        new = written(_by_blocks(runs, packed, sizes, labels, rule), "links")
         links = new if links is None else links.unionByName(new)
         labels = components(links)
 

@@ -10,7 +10,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of an Arrow batch to Python, where the session has Spark's own default of 10,000:
+#: a batch of long documents would otherwise be as large as a task's memory.
+BATCH_ROWS, DEFAULT_ROWS = 1_000, "10000"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +36,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, ``more`` columns and text of documents, to be read in Python in bounded batches."""
+    spark = docs.sparkSession
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, DEFAULT_ROWS) == DEFAULT_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *more, "text")

@@ -62,8 +62,11 @@ def test_against_brute_force(spark, size, percent, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, size, percent)
 
 
-def test_large_runs_reach_the_last_level(spark, monkeypatch):
-    monkeypatch.setattr(jj, "LEVELS", ((0, 1),))
+@pytest.mark.parametrize("small,block", [(1, 3), (2, 256)])
+def test_large_runs_reach_the_last_step(spark, monkeypatch, small, block):
+    monkeypatch.setattr(jj, "SMALL_RUN", small)
+    monkeypatch.setattr(jj, "BLOCK", block)
+    monkeypatch.setattr(jj, "COLUMNS", 64)
     rows = made(4, 220)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
     got = jj.jaccard_components(df, jj.Rule(4, 85)).members
@@ -85,7 +88,7 @@ def test_linked_sets_always_share_a_signature():
     for percent in (80, 85, 95):
         bands = jj.Bands(percent)
         for n in (3, 7, 8, 13, 14, 20, 33, 60, 150, 700):
-            for level in range(len(jj.LEVELS)):
+            for k2, n2 in ((0, 1), (1, 3), (2, 5)):
                 for _ in range(25):
                     a = rnd.integers(0, 1 << 63, n).astype(np.uint64)
                     k = int(rnd.integers(0, 1 + n * (100 - percent) // 100))
@@ -96,10 +99,45 @@ def test_linked_sets_always_share_a_signature():
                     a, b = np.unique(a), np.unique(b)
                     common = len(np.intersect1d(a, b))
                     if len(b) and 100 * common >= percent * (len(a) + len(b) - common) and common < len(a):
-                        assert np.isin(jj.signatures(a, bands, level), jj.signatures(b, bands, level)).any()
+                        assert np.isin(jj.signatures(a, bands, k2, n2), jj.signatures(b, bands, k2, n2)).any()
 
 
 def test_element_sets_are_exact():
     texts = flat(pa.array(["A b a B a b", "x", None, "one two"]))
     assert [len(x) for x in jj.element_sets(texts, 2)] == [2, 1, 0, 1]
     assert LOWER[65] == 97
+
+
+def test_blocks_give_a_forest_of_all_links():
+    rnd = np.random.default_rng(6)
+    base = rnd.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = []
+    for _ in range(40):
+        s = base.copy()
+        s[rnd.integers(0, 60, rnd.integers(0, 9))] = rnd.integers(0, 1 << 62, 1).astype(np.uint64)
+        sets.append(np.unique(s))
+    roots = np.arange(40)
+    root = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            k = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * k >= 85 * (len(sets[i]) + len(sets[j]) - k):
+                root = [root[j] if r == root[i] else r for r in root]
+    got = list(range(40))
+    links = jj._joined_by(sets, roots, 85)
+    for i, j in links:
+        got = [got[j] if r == got[i] else r for r in got]
+    assert len(links) == 40 - len(set(root))
+    assert len({(a, b) for a, b in zip(root, got)}) == len(set(root)) == len(set(got))
+
+
+def test_sketches_bound_the_distance_from_below():
+    rnd = np.random.default_rng(8)
+    for n, m in ((1, 1), (50, 60), (1990, 2010), (5000, 5100)):
+        for share in (0.0, 0.5, 1.0):
+            a = rnd.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+            b = np.concatenate([a[: int(n * share)], rnd.integers(0, 1 << 63, m - int(n * share)).astype(np.uint64) * np.uint64(2)])
+            a, b = np.unique(a), np.unique(b)
+            assert np.frombuffer(jj.sketch(a), "<u2").sum() == len(a)
+            assert jj.least_distance(jj.sketch(a), jj.sketch(b)) <= len(np.setxor1d(a, b))
+    assert jj.least_distance(jj.sketch(a), jj.sketch(a)) == 0
