@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.scratch import written
+from plumbline.llm.scratch import texts_of, written
 from plumbline.llm.textbatch import Texts, U, mix, range_hash, slices
 
 ORDER = 4
@@ -282,7 +282,7 @@ def held_out() -> Column:
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text")
+    rows = texts_of(docs, held_out().alias("held_out"))
     return rows.mapInArrow(_predict(model), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
@@ -294,6 +294,7 @@ def identified(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:
 def speaking(docs: DataFrame, model: Model, wanted: tuple[str, ...] | None = None, least: float = 0.5) -> DataFrame:
     """``docs`` in a wanted language (None: any learned one) with at least this score."""
     at = docs.columns.index("text")
+    texts_of(docs)  # bounds the batches
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,6 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.scratch import texts_of
 from plumbline.llm.textbatch import SEPARATOR, Texts, mix, salted, shingles, slices, words
 
 #: (bytes from, least ratio, largest ratio) of whole texts, and of chunks of CHUNK bytes.
@@ -121,12 +122,13 @@ def _judge(limits: Limits):
 
 def judged(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): the measures, the verdict and what it rests on."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_judge(limits), SCHEMA)
+    return texts_of(docs).mapInArrow(_judge(limits), SCHEMA)
 
 
 def passing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``docs`` without the rows that fail, in one pass over their texts."""
     at = docs.columns.index("text")
+    texts_of(docs)  # bounds the batches
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _judge(limits)

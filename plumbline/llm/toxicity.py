@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.langid import held_out
-from plumbline.llm.scratch import written
+from plumbline.llm.scratch import texts_of, written
 from plumbline.llm.textbatch import Texts, U, Words, flat, mix, range_hash, salted, slices, words
 from plumbline.llm.trees import Isotonic, Trees, calibrate, fit
 
@@ -188,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Mode
     chosen = known.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= max(sample.toxic, sample.clean)).where(F.col("turn") <= most).select("doc_id", "toxic")
     chosen = written(chosen, "sample")
     # At most toxic + clean ids.
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    rows = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     rows = written(rows, "labelled")
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -218,7 +218,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             score = model.score(texts)
             yield pa.record_batch([*batch.columns[:2], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text")
+    rows = texts_of(docs, held_out().alias("held_out"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
