@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.pretok import PieceEncoder
+from plumbline.llm.scratch import texts_of
 from plumbline.llm.textbatch import slices
 
+#: Pieces that a worker keeps (about 100 MB, twice that in the worst case).
+CACHED = 400_000
 #: Entries of the memo of pairs; it is emptied when full.
 MEMO = 1_000_000
 
@@ -47,19 +51,21 @@ class Encoder:
             elif (pair := self._last_merge(token, rank)) is not None:
                 self.halves[rank] = pair
                 self.joined[pair] = rank
+        self.size_of = [0] * (max(ranks.values()) + 1)
         self.automaton = ahocorasick.Automaton()
         for rank in self.halves:
             token = self.bytes_of[rank]
-            self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
+            self.size_of[rank] = len(token)
+            self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.shorter: dict[int, int] = {}
+        self.shorter = [-1] * len(self.size_of)
         for rank in self.halves:
             token = self.bytes_of[rank]
             for n in range(len(token) - 1, 0, -1):
                 if (r := ranks.get(token[:n])) is not None and r in self.halves:
                     self.shorter[rank] = r
                     break
-        self.memo: dict[tuple[int, int], bool] = {}
+        self.memo: dict[int, bool] = {}
 
     def _last_merge(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The two parts that merges of lower rank leave; None if no merge makes the token."""
@@ -73,12 +79,11 @@ class Encoder:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether a byte pair encoder of left + right ends with these two tokens."""
-        key = (left, right)
-        known = self.memo.get(key)
+        known = self.memo.get(left << 32 | right)
         if known is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            known = self.memo[key] = self._compatible(left, right)
+            known = self.memo[left << 32 | right] = self._compatible(left, right)
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -111,25 +116,32 @@ class Encoder:
             return [whole]
         n = len(piece)
         longest = [-1] * n
-        for end, (size, rank) in self.automaton.iter(piece.decode("latin-1")):
-            longest[end + 1 - size] = rank
-        alive = bytearray(b"\1") * (n + 1)
+        size_of, shorter, memo = self.size_of, self.shorter, self.memo
+        for end, rank in self.automaton.iter(piece.decode("latin-1")):
+            longest[end + 1 - size_of[rank]] = rank  # later ends are longer tokens
+        dead: set[int] = set()
         out: list[int] = []
-        at, token = 0, longest[0]
-        size_of, shorter, compatible = self.bytes_of, self.shorter, self.compatible
+        at, token, before = 0, longest[0], -1
         while True:
-            end = at + len(size_of[token])
-            if alive[end] and (not out or compatible(out[-1], token)):
-                out.append(token)
-                if end == n:
-                    return out
-                at, token = end, longest[end]
-            elif (less := shorter.get(token)) is not None:
+            end = at + size_of[token]
+            if end not in dead:
+                fits = before < 0 or memo.get(before << 32 | token)
+                if fits is None:
+                    fits = self.compatible(before, token)
+                if fits:
+                    out.append(token)
+                    if end == n:
+                        return out
+                    at, before, token = end, token, longest[end]
+                    continue
+            less = shorter[token]
+            if less >= 0:
                 token = less
             else:
-                alive[at] = 0
+                dead.add(at)
                 token = out.pop()
-                at -= len(size_of[token])
+                at -= size_of[token]
+                before = out[-1] if out else -1
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -145,13 +157,14 @@ def _tools(path: str) -> tuple[PieceEncoder, list[bytes]]:
     encoder, matches = Encoder(ranks_of(path)), regex.compile(PATTERN)
 
     def encode(piece: str) -> bytes:
-        ids: list[int] = []
-        for match in matches.findall(piece):
-            ids += encoder.encode(match.encode())
-        return np.array(ids, "<u4").tobytes()
+        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            ids = encoder.encode(piece.encode())  # letters alone are one match
+        else:
+            ids = [i for match in matches.findall(piece) for i in encoder.encode(match.encode())]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     table = [encoder.bytes_of.get(i, b"") for i in range(max(encoder.bytes_of) + 1)]
-    return PieceEncoder(encode), table
+    return PieceEncoder(encode, CACHED), table
 
 
 def encode(text: str, path: str) -> np.ndarray:
@@ -182,9 +195,9 @@ def _encoded(path: str, with_ids: bool):
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and ids (array of int) of ``docs`` (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_encoded(path, True), "doc_id bigint, n_tokens bigint, ids array<int>")
+    return texts_of(docs).mapInArrow(_encoded(path, True), "doc_id bigint, n_tokens bigint, ids array<int>")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of the ids and of the bytes decoded from them."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_encoded(path, False), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return texts_of(docs).mapInArrow(_encoded(path, False), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

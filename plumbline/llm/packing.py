@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.pretok import PieceEncoder
-from plumbline.llm.scratch import written
+from plumbline.llm.scratch import texts_of, written
 from plumbline.llm.textbatch import slices
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint"
@@ -48,11 +49,12 @@ def _byte_of() -> dict[str, int]:
 
 
 @lru_cache(2)
-def document_encoder(path: str) -> Callable[[str], bytes]:
-    """Ids of a whole text, as the tokenizer in the JSON file at ``path`` gives them.
+def document_encoder(path: str) -> tuple[Callable[[str], bytes], Callable[[], None]]:
+    """A function for the ids of a whole text, as the tokenizer in the JSON file at ``path`` gives them.
 
     The file's vocabulary is in merge order, so its ids serve as ranks. Strings
-    of its special tokens are cut out first, as that tokenizer does.
+    of its special tokens are cut out first, as that tokenizer does. The second
+    function frees the cache.
     """
     import tiktoken
     from public_tokenizers import PATTERN
@@ -67,12 +69,16 @@ def document_encoder(path: str) -> Callable[[str], bytes]:
     def packed(piece: str) -> bytes:
         return np.array(encoding.encode(piece, allowed_special="all"), "<u4").tobytes()
 
-    pieces = PieceEncoder(lambda piece: np.array(encoding.encode_ordinary(piece), "<u4").tobytes())
+    def ordinary(piece: str) -> bytes:
+        ids = encoding.encode_ordinary(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    pieces = PieceEncoder(ordinary)
 
     def ids(text: str) -> bytes:
         return packed(text) if any(x in text for x in special) else pieces.ids(text)
 
-    return ids
+    return ids, pieces.forget
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -83,7 +89,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, last = document_encoder(path), np.array([end], "<u4").tobytes()
+        (ids_of, forget), last = document_encoder(path), np.array([end], "<u4").tobytes()
         task, ranks = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch, texts in slices(batches):
             rows: list[tuple] = []
@@ -95,6 +101,7 @@ def _pieces(path: str, end: int, capacity: int):
                     ranks[length] += 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
+        forget()
 
     return run
 
@@ -181,7 +188,7 @@ def _placed(runs: list[tuple[int, int, int, int, int]], capacity: int):
 
 def packed(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) with their sequence and offset."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = texts_of(docs)
     pieces = written(texts.mapInArrow(_pieces(path, end, capacity), PIECES), "pieces")
     counts = pieces.where(F.col("length") < capacity).groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,8 +16,10 @@ from collections.abc import Callable
 _AWKWARD = re.compile("[ ](?:[\\s\x1c-\x1f\x85\xa0]|$)")
 _CUT = re.compile("[ ](?=[^\\s\x1c-\x1f\x85\xa0])")
 
-CACHED = 300_000
+CACHED = 250_000
 LONGEST = 48
+#: Marks that are a match of their own when they end a piece after a letter.
+MARKS = frozenset(".,;:!?")
 
 
 class PieceEncoder:
@@ -28,11 +30,30 @@ class PieceEncoder:
         self.cached = cached
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.alone = {mark: encode(mark) for mark in (*MARKS, "\n")}
+
+    def forget(self) -> None:
+        """Free the cache, at the end of a task: Spark keeps Python workers."""
+        self.new, self.old = {}, {}
+
+    def _after_space(self, piece: str) -> bytes:
+        """Ids of a piece behind its space. What its last mark or its line break cuts
+        off is looked up by itself, since it repeats more often than the whole."""
+        if piece[-1:] in MARKS and piece[:-1].isalpha():
+            return self._one(piece[:-1]) + self.alone[piece[-1]]
+        left, line, right = piece.partition("\n")
+        if line and left and right and "\n" not in right and not left[-1].isspace() and not right[0].isspace():
+            return self._one(left) + self.alone[line] + self.encode(right)
+        return self.encode(" " + piece)
+
+    def _one(self, piece: str) -> bytes:
+        got = self.new.get(piece)
+        return self._missing(piece) if got is None else got
 
     def _missing(self, piece: str) -> bytes:
         got = self.old.get(piece)
         if got is None:
-            got = self.encode(" " + piece)
+            got = self._after_space(piece)
         if len(piece) <= LONGEST:
             if len(self.new) >= self.cached:
                 self.new, self.old = {}, self.new
@@ -45,6 +66,6 @@ class PieceEncoder:
         first, *rest = _CUT.split(text) if _AWKWARD.search(text) else text.split(" ")
         out = list(map(self.new.get, rest))
         if None in out:
-            missing = self._missing
-            out = [missing(p) if x is None else x for p, x in zip(rest, out)]
+            one = self._one
+            out = [one(p) if x is None else x for p, x in zip(rest, out)]
         return (self.encode(first) if first else b"") + b"".join(out)
