@@ -126,13 +126,12 @@ def repeated_sequences(journal: DataFrame) -> DataFrame:
 
 def require_valid(journal: DataFrame, schema: Schema) -> None:
     """Raise for the change of the least sequence that breaks a rule."""
-    bad = problems(journal, schema).orderBy("sequence").first()
+    twice = repeated_sequences(journal).select("sequence", F.concat(F.lit("duplicate sequence for "), F.col("source.engine")).alias("problem"))
+    bad = problems(journal, schema).unionByName(twice).orderBy("sequence").first()
     if bad is not None:
         raise PlumblineError(f"change {bad['sequence']}: {bad['problem']}")
-    twice = repeated_sequences(journal).orderBy("sequence").first()
-    if twice is not None:
-        raise PlumblineError(f"duplicate sequence {twice['sequence']} for {twice['source']['engine']}")
-    if len(journal.select("source").distinct().limit(2).collect()) > 1:
+    ends = journal.agg(F.min("source").alias("least"), F.max("source").alias("most")).first()
+    if ends["least"] != ends["most"]:
         raise PlumblineError("a batch holds changes of one source")
 
 
