@@ -19,7 +19,7 @@ NEAR = jaccard_join.Rule(5, 80)
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the compression bands."""
-    return quality.passing(docs)
+    return quality.passing(docs, quality.limits_of(docs, sf_dir))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

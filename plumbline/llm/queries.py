@@ -23,7 +23,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judged(docs, quality.limits_of(docs, sf_dir))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

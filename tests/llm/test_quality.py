@@ -54,3 +54,23 @@ def test_bands_reject_repetition_and_noise(spark):
     stays = quality.passing(df)
     assert stays.columns == df.columns and {r.doc_id for r in stays.collect()} == {1, 2, 3, 8}
     assert quality.judged(df.limit(0)).count() == 0 and quality.passing(df.limit(0)).count() == 0
+
+
+def test_learned_bands_reject_what_clean_text_is_not(spark):
+    """Texts of few words repeat a little more than clean text, random letters less; the base rule passes both."""
+    rnd = random.Random(6)
+    few = [prose(1, 900 + i).rstrip(".") for i in range(150)]
+    poor = [" ".join(rnd.choice(few) for _ in range(rnd.randrange(250, 330))) for _ in range(20)]
+    noise = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(3, 9))) for _ in range(300)) for _ in range(20)]
+    rows = [(i, prose(rnd.randrange(250, 330), i), 1) for i in range(400)] + [(1000 + i, t, 0) for i, t in enumerate(poor + noise)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    limits = quality.learned(df.where("doc_id < 200 OR doc_id >= 1000"), df.select("doc_id", "quality"))
+    got = {r.doc_id: r for r in quality.judged(df, limits).collect()}
+    assert not any(got[d].base_failed for d in got)
+    assert sum(got[d].kept for d in range(200, 400)) >= 194 and sum(got[d].kept for d in range(1000, 1040)) <= 2
+    assert quality.learned(df.limit(0), df.select("doc_id", "quality")).chunk == quality.CHUNK_BAND
+
+
+def test_short_texts_have_a_band_and_a_third_of_bad_chunks_is_too_many():
+    assert not quality.in_bands(250, 0.95, [], quality.Limits())[0] and not quality.in_bands(250, 0.2, [], quality.Limits())[0]
+    assert not quality.in_bands(12_000, 0.45, [0.45, 0.45, 0.9], quality.Limits())[0] and quality.in_bands(16_000, 0.45, [0.45, 0.45, 0.45, 0.9], quality.Limits())[0]
