@@ -16,7 +16,11 @@ grams seen in training are tabulated in a hash table that numpy probes.
 Training reads at most ``per_language`` documents of each label (those with the
 least hash of doc_id) of at most ``longest`` bytes, and keeps grams of three
 and more bytes that occur twice. score is the posterior of the language from
-the code lengths under equal priors. Texts that are null or without a letter
+the code lengths under equal priors, so it says nothing of texts in none of the
+languages; ``speaking`` therefore also wants a text's bits per byte to be within
+its language's limit. Limits are learned from the sample by two folds: each text
+is coded by a model of the other fold, and the limit is SLACK times what all but
+OUTSIDE of the language's texts need at most. Texts that are null or without a letter
 are ``und`` with score 0, and so is every text if nothing was learned. Rows are
 judged one by one; an empty table gives an empty result.
 """
@@ -39,6 +43,7 @@ ORDER = 4
 LETTER = regex.compile(r"\p{L}")
 #: Languages that one model holds at most; the sample is broadcast, so this bounds it.
 MOST_LANGUAGES = 500
+OUTSIDE, SLACK = 0.005, 1.2
 
 #: Letters lower-cased; 0x20 for what stands between words.
 CODED = np.full(256, 0x20, np.uint8)
@@ -130,6 +135,8 @@ class Model:
 
     def __init__(self, languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> None:
         self.languages = languages
+        #: Bits per byte up to which a text is in the language.
+        self.limits = np.full(len(languages), np.inf)
         keys, at = np.unique(gram, return_inverse=True)
         counts = np.zeros((len(keys), max(1, len(languages))))
         counts[at, lang] = n
@@ -221,48 +228,90 @@ class Table:
         return out
 
 
-def train(docs: DataFrame, sample: Sample = Sample()) -> Model:
-    """A model from ``docs`` (doc_id, text, lang), of which only labelled rows count."""
+def train(docs: DataFrame, sample: Sample = Sample(), limited: bool = True) -> Model:
+    """A model from ``docs`` (doc_id, text, lang), of which only labelled rows count; with limits if wanted."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= sample.longest))
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = written(labelled.select("doc_id", "lang").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= sample.per_language).select("doc_id", "lang"), "sample")
+    chosen = written(labelled.select("doc_id", "lang").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= sample.per_language).select("doc_id", "lang", (F.col("turn") % 2 == 0).alias("even")), "sample")
     languages = sorted(r["lang"] for r in chosen.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     # At most per_language * MOST_LANGUAGES ids.
-    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
-    counted = texts.mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    kept = counted.where((F.col("gram") < (3 << 40)) | (F.col("n") > 1)).toArrow()
+    ids = chosen.groupBy("doc_id", "lang").agg(F.max("even").alias("even"))
+    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select(F.concat(F.when(F.col("even"), "1").otherwise("0"), "lang").alias("lang"), "text")
+    counted = texts.mapInArrow(_counted, "lang string, gram bigint, n bigint")
+    folds = counted.groupBy(F.expr("substring(lang, 2)").alias("lang"), "gram").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("lang").startswith("1"), F.col("n")).otherwise(0)).alias("even"))
+    kept = folds.where((F.col("gram") < (3 << 40)) | (F.col("n") > 1)).toArrow()
     number = {x: i for i, x in enumerate(languages)}
     lang = np.array([number[x] for x in kept["lang"].to_pylist()], np.int64)
-    return Model(languages, lang, kept["gram"].to_numpy().astype(np.int64), kept["n"].to_numpy().astype(np.float64))
+    gram, n, even = (kept[c].to_numpy().astype(t) for c, t in (("gram", np.int64), ("n", np.float64), ("even", np.float64)))
+    model = Model(languages, lang, gram, n)
+    if limited and len(n):
+        halves = []
+        for m in (n - even, even):
+            some = (m > 1) | (m > 0) & (gram < (3 << 40))
+            halves.append((Model(languages, lang[some], gram[some], m[some]), set(lang[some].tolist())))
+        bits = texts.mapInArrow(_crossed(halves), "lang string, bits double").groupBy("lang").agg(F.percentile("bits", 1 - OUTSIDE).alias("most"))
+        found = {number[r["lang"]]: SLACK * r["most"] for r in bits.collect()}
+        for i in range(len(languages)):  # a language of one text has the widest limit of the others
+            model.limits[i] = found.get(i, max(found.values(), default=np.inf))
+    return model
+
+
+def _crossed(halves: list[tuple[Model, set[int]]]):
+    """(lang, bits per byte) of texts by the model of the fold that they aren't in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            names, out = batch.column(batch.schema.get_field_index("lang")).to_pylist(), []
+            for fold, (model, known) in enumerate(halves):
+                total, size = code_lengths(model, texts)
+                place = {x: i for i, x in enumerate(model.languages)}
+                for i, name in enumerate(names):
+                    k = place[name[1:]]
+                    if name[0] != str(fold) and k in known and size[i]:
+                        out.append((name[1:], total[i, k] / size[i]))
+            yield pa.record_batch([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())], names=["lang", "bits"])
+
+    return run
 
 
 # --------------------------------------------------------------------------- prediction
 
 
-def scores(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """The index of the language and its posterior; -1 and 0 for texts without a letter."""
+def code_lengths(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of every row in each language, and the number of bytes coded."""
     data = CODED[texts.data]
-    ascii_letter = (data >= 0x61) & (data < 0x7B)
-    some = np.diff(np.concatenate([[0], np.cumsum(ascii_letter)])[texts.offsets]) > 0
-    for i in np.flatnonzero(~some & (np.diff(texts.offsets) > 0)):
-        some[i] = LETTER.search(texts.raw(i).decode("utf-8", "replace")) is not None
-    n = len(model.languages)
-    if not n:
-        return np.full(len(texts), -1), np.zeros(len(texts))
     start, end, row = word_ranges(data, texts.offsets)
-    total = np.zeros((len(texts), n))
+    total = np.zeros((len(texts), len(model.languages)))
     if len(start):
         _, one, which = np.unique(range_hash(data, start, end), return_index=True, return_inverse=True)
         coded, first = spaced(data, start[one], end[one])
         bits = np.add.reduceat(model.bits(coded, first).astype(np.float64), first[:-1], axis=0)
         full = np.flatnonzero(np.diff(row))
         total[full] = np.add.reduceat(bits[which], row[:-1][full], axis=0)
-    best = total.argmin(axis=1)
+    return total, np.diff(np.concatenate([[0], np.cumsum(end - start + 1)])[row])
+
+
+def _judged(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The index of the language, its posterior, and its bits per byte; -1, 0 and 0 for texts without a letter."""
+    data = CODED[texts.data]
+    ascii_letter = (data >= 0x61) & (data < 0x7B)
+    some = np.diff(np.concatenate([[0], np.cumsum(ascii_letter)])[texts.offsets]) > 0
+    for i in np.flatnonzero(~some & (np.diff(texts.offsets) > 0)):
+        some[i] = LETTER.search(texts.raw(i).decode("utf-8", "replace")) is not None
+    if not len(model.languages):
+        return np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts))
+    total, size = code_lengths(model, texts)
+    best, least = total.argmin(axis=1), total.min(axis=1)
     with np.errstate(over="ignore"):
-        posterior = 1.0 / np.exp2(np.clip(total.min(axis=1, keepdims=True) - total, -1000, 0)).sum(axis=1)
-    return np.where(some, best, -1), np.where(some, posterior, 0.0)
+        posterior = 1.0 / np.exp2(np.clip(least[:, None] - total, -1000, 0)).sum(axis=1)
+    return np.where(some, best, -1), np.where(some, posterior, 0.0), np.where(some, least / np.maximum(size, 1), 0.0)
+
+
+def scores(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The index of the language and its posterior; -1 and 0 for texts without a letter."""
+    return _judged(model, texts)[:2]
 
 
 def _predict(model: Model):
@@ -288,11 +337,11 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
 def identified(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:
     """Train on the rows of ``docs`` that are not held out, then predict every row."""
-    return predicted(docs, train(docs.where(~held_out()), sample))
+    return predicted(docs, train(docs.where(~held_out()), sample, limited=False))
 
 
 def speaking(docs: DataFrame, model: Model, wanted: tuple[str, ...] | None = None, least: float = 0.5) -> DataFrame:
-    """``docs`` in a wanted language (None: any learned one) with at least this score."""
+    """``docs`` in a wanted language (None: any learned one) with at least this score and within the language's limit."""
     at = docs.columns.index("text")
     texts_of(docs)  # bounds the batches
 
@@ -301,8 +350,8 @@ def speaking(docs: DataFrame, model: Model, wanted: tuple[str, ...] | None = Non
             pair = pa.record_batch([batch.column(at)], names=["text"])
             mask: list[bool] = []
             for _, texts in slices(iter([pair])):
-                best, posterior = scores(model, texts)
-                mask += [b >= 0 and p >= least and (wanted is None or model.languages[b] in wanted) for b, p in zip(best, posterior)]
+                best, posterior, bits = _judged(model, texts)
+                mask += [bool(b >= 0 and p >= least and x <= model.limits[b]) and (wanted is None or model.languages[b] in wanted) for b, p, x in zip(best, posterior, bits)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

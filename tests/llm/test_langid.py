@@ -93,3 +93,17 @@ def test_scores_are_probabilities():
     model = langid.Model(["x"], np.array([0]), np.array([(1 << 40) | 97]), np.array([1.0]))
     best, posterior = langid.scores(model, flat(pa.array(["a", "b", "", None, "…"])))
     assert best.tolist() == [0, 0, -1, -1, -1] and posterior.tolist() == [1.0, 1.0, 0.0, 0.0, 0.0]
+
+
+def test_speaking_rejects_what_no_language_explains(spark):
+    rnd = random.Random(8)
+    rows = [(i, text(lang := rnd.choice(["aa", "bb"]), rnd.randrange(50, 90), rnd), lang) for i in range(200)]
+    alphabets = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрст", "αβγδεζηθικλμνξο", "".join(map(chr, range(0x4E00, 0x5200))))
+    noise = [" ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(3, 9))) for _ in range(100)) for letters in alphabets for _ in range(5)]
+    russian = "широкая электрификация южных губерний даст мощный толчок подъёму сельского хозяйства " * 8
+    polish = "pchnąć w tę łódź jeża lub ośm skrzyń fig zażółć gęślą jaźń książkę czytał " * 8
+    unlearned = noise + [russian, polish] + [text("cc", 80, rnd) for _ in range(5)]
+    more = [(500 + i, text("bb", 60, rnd), None) for i in range(50)] + [(1000 + i, t, None) for i, t in enumerate(unlearned)]
+    df = spark.createDataFrame(rows + more, "doc_id bigint, text string, lang string")
+    stays = {r.doc_id for r in langid.speaking(df, langid.train(df)).collect()}
+    assert max(stays) < 1000 and len([d for d in stays if d >= 500]) >= 48 and len(stays) >= 245
