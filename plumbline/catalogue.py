@@ -125,6 +125,7 @@ _grammar("q_concat", "SELECT n_nationkey AS k, n_name || '/' || 'it''s' || nulli
 _grammar("q_lower_upper_length", "SELECT DISTINCT lower(c_mktsegment) AS low, upper(c_mktsegment) AS high, length(c_mktsegment) AS width FROM customer")
 _grammar("q_trim_replace_abs", "SELECT c_custkey AS k, trim('  ' || c_mktsegment || ' ') AS segment, replace(c_name, '#', '-') AS name, abs(c_acctbal) AS balance FROM customer")
 _grammar("q_arith", "SELECT l_orderkey AS k, l_linenumber AS line, l_partkey * 2 - l_suppkey + 7 AS mixed FROM lineitem WHERE l_orderkey < 500")
+_grammar("q_arith_whole", "SELECT l_orderkey AS k, l_linenumber AS line, l_partkey * 2 - l_suppkey + 7 AS mixed FROM lineitem")
 _grammar("q_int_div", "SELECT o_orderkey AS k, o_orderkey / 7 AS part, (0 - o_custkey) / 4 AS negative FROM orders", "SELECT o_orderkey AS k, o_orderkey // 7 AS part, -(o_custkey // 4) AS negative FROM orders")
 _grammar("q_hex_literal", "SELECT n_nationkey + 0xFF AS plain, 0xFFFFFFFFFFFFFFFF AS minus_one, 0x10 AS sixteen FROM nation", "SELECT n_nationkey + CAST(255 AS BIGINT) AS plain, CAST(-1 AS BIGINT) AS minus_one, CAST(16 AS BIGINT) AS sixteen FROM nation")
 _grammar("q_precedence_not", "SELECT n_nationkey AS k FROM nation WHERE NOT n_regionkey = 1 AND n_nationkey > 3 OR NOT (n_nationkey < 20)")

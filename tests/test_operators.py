@@ -111,3 +111,11 @@ def test_search(spark):
     assert find("árboles bosques") == ["1", "10"] and find("nil") == ["2"] and find(" .") == ["1", "10", "2", "3"] and find("42 A b") == ["3"] and find("arboles") == []
     with pytest.raises(SchemaError):
         search.search(df, "id", [], "x")
+
+
+def test_registered_queries_cover_their_whole_tables(spark, tmp_path):
+    from plumbline.catalogue import QUERIES
+
+    lines = [(k, n, 3 * k, n) for k in (1, 499, 500, 900_000) for n in (1, 2)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber bigint, l_partkey bigint, l_suppkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert {tuple(r) for r in QUERIES["q_arith_whole"](spark, str(tmp_path)).collect()} == {(k, n, 2 * p - s + 7) for k, n, p, s in lines}
