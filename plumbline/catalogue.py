@@ -314,6 +314,28 @@ def q_trigger_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["q_trigger_delete"] = q_trigger_delete
 ORACLE_SQL["q_trigger_delete"] = "SELECT o_orderkey AS custkey, 'old' AS state FROM orders WHERE o_custkey >= 100"
 
+
+def q_trigger_update_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As q_trigger_update, by a change of all open orders, which grows with the table."""
+    orders, tables = _triggered(spark, sf_dir)
+    old = orders.where("o_orderstatus = 'O'")
+    change = triggers.delta(old, old.withColumn("o_orderstatus", F.lit("X")), ("o_orderkey",))
+    return triggers.fire_all(WITH_TRIGGERS, "orders", "update", change, tables)["totals"]
+
+
+QUERIES["q_trigger_update_open"] = q_trigger_update_open
+ORACLE_SQL["q_trigger_update_open"] = "SELECT o_orderkey AS custkey, CASE WHEN o_orderstatus = 'O' THEN 'X' ELSE 'old' END AS state FROM orders"
+
+
+def q_trigger_delete_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As q_trigger_delete, by a deletion of all open orders, which grows with the table."""
+    orders, tables = _triggered(spark, sf_dir)
+    return triggers.fire_all(WITH_TRIGGERS, "orders", "delete", triggers.delta(orders.where("o_orderstatus = 'O'"), None), tables)["totals"]
+
+
+QUERIES["q_trigger_delete_open"] = q_trigger_delete_open
+ORACLE_SQL["q_trigger_delete_open"] = "SELECT o_orderkey AS custkey, 'old' AS state FROM orders WHERE o_orderstatus <> 'O'"
+
 _P = Expression("parameter", "key")
 ROUTINES = Schema(
     (Table("nation", (Column("n_nationkey", Type("integer")), Column("n_name", Type("text")), Column("n_regionkey", Type("integer")))),),

@@ -119,3 +119,7 @@ def test_registered_queries_cover_their_whole_tables(spark, tmp_path):
     lines = [(k, n, 3 * k, n) for k in (1, 499, 500, 900_000) for n in (1, 2)]
     spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber bigint, l_partkey bigint, l_suppkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert {tuple(r) for r in QUERIES["q_arith_whole"](spark, str(tmp_path)).collect()} == {(k, n, 2 * p - s + 7) for k, n, p, s in lines}
+    orders = [(1, 5, "O"), (2, 5_000, "O"), (3, 6, "F"), (4, 7_000, "P")]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    assert {tuple(r) for r in QUERIES["q_trigger_update_open"](spark, str(tmp_path)).collect()} == {(1, "X"), (2, "X"), (3, "old"), (4, "old")}
+    assert {tuple(r) for r in QUERIES["q_trigger_delete_open"](spark, str(tmp_path)).collect()} == {(3, "old"), (4, "old")}
