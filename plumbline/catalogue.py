@@ -593,7 +593,7 @@ ORACLE_SQL["q_infer_features"] = "SELECT * FROM (VALUES ('tables'),('canonical_f
 
 
 def q_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families of the columns of all tables."""
+    """Families of the columns of three tables that hold every kind of column: nation, orders and embeddings."""
     tables = _Tables(spark, sf_dir)
     found = inspect_frames({n: tables[n] for n in ("nation", "orders", "embeddings")})
     return spark.createDataFrame([(t.name, c.name, c.type.family) for t in found.schema.tables for c in t.columns], "table_name string, column_name string, family string")
