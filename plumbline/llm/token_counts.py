@@ -11,7 +11,7 @@ gives an empty histogram.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -65,3 +65,32 @@ def at_limits(counts: DataFrame) -> DataFrame:
         "total_tokens",
         ((F.col("all_docs") - over) / F.col("all_docs")).alias("quantile"),
     )
+
+
+def for_limits(counts: DataFrame, limits: Iterable[int]) -> DataFrame:
+    """What ``at_limits`` says, for any given limits; n_docs is the number of documents of just that length.
+
+    Empty for an empty histogram.
+    """
+    given = counts.sparkSession.createDataFrame([(x,) for x in sorted(set(limits))], "wanted bigint")
+    fits = F.col("length") <= F.col("wanted")
+    zero = F.lit(0).cast("bigint")
+    n, tokens = F.col("n_docs"), F.col("length") * F.col("n_docs")
+    # A few rows; the histogram has at most as many as the longest document has tokens.
+    found = counts.crossJoin(F.broadcast(given)).groupBy("wanted").agg(
+        F.sum(F.when(F.col("length") == F.col("wanted"), n).otherwise(zero)).alias("n_docs"),
+        F.sum(F.when(fits, n).otherwise(zero)).alias("docs_within"),
+        F.sum(F.when(fits, zero).otherwise(n)).alias("docs_over"),
+        F.sum(F.when(fits, tokens).otherwise(zero)).alias("tokens_within"),
+        F.sum(tokens).alias("total_tokens"),
+    )
+    return found.select(
+        F.col("wanted").alias("length"),
+        "n_docs",
+        "docs_within",
+        "docs_over",
+        "tokens_within",
+        (F.col("tokens_within") + F.col("docs_over") * F.col("wanted")).alias("truncated_tokens"),
+        "total_tokens",
+        (F.col("docs_within") / (F.col("docs_within") + F.col("docs_over"))).alias("quantile"),
+    )
