@@ -13,8 +13,9 @@ A word's code length then depends on the word alone, so each distinct word of a
 slice of texts is coded once, for all languages at a time: the costs of all
 grams seen in training are tabulated in a hash table that numpy probes.
 
-Training reads at most ``per_language`` documents of each label (those with the
-least hash of doc_id) of at most ``longest`` bytes, and keeps grams of three
+Training reads at most ``per_language`` documents of each label: those of at most
+``longest`` bytes with the least hash of doc_id, and where there are too few of
+them, the first ``longest`` characters of longer ones. It keeps grams of three
 and more bytes that occur twice. score is the posterior of the language from
 the code lengths under equal priors, so it says nothing of texts in none of the
 languages; ``speaking`` therefore also wants a text's bits per byte to be within
@@ -230,15 +231,17 @@ class Table:
 
 def train(docs: DataFrame, sample: Sample = Sample(), limited: bool = True) -> Model:
     """A model from ``docs`` (doc_id, text, lang), of which only labelled rows count; with limits if wanted."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") <= sample.longest))
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = written(labelled.select("doc_id", "lang").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= sample.per_language).select("doc_id", "lang", (F.col("turn") % 2 == 0).alias("even")), "sample")
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    long = F.octet_length("text") > sample.longest
+    turn = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")
+    chosen = written(labelled.select("doc_id", "lang", long.alias("long")).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= sample.per_language).select("doc_id", "lang", "long", (F.col("turn") % 2 == 0).alias("even")), "sample")
     languages = sorted(r["lang"] for r in chosen.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     # At most per_language * MOST_LANGUAGES ids.
-    ids = chosen.groupBy("doc_id", "lang").agg(F.max("even").alias("even"))
-    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select(F.concat(F.when(F.col("even"), "1").otherwise("0"), "lang").alias("lang"), "text")
+    ids = chosen.groupBy("doc_id", "lang", "long").agg(F.max("even").alias("even"))
+    begun = F.when(long, F.substring("text", 1, sample.longest)).otherwise(F.col("text"))
+    texts = labelled.select("doc_id", "lang", long.alias("long"), begun.alias("text")).join(F.broadcast(ids), ["doc_id", "lang", "long"]).select(F.concat(F.when(F.col("even"), "1").otherwise("0"), "lang").alias("lang"), "text")
     counted = texts.mapInArrow(_counted, "lang string, gram bigint, n bigint")
     folds = counted.groupBy(F.expr("substring(lang, 2)").alias("lang"), "gram").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("lang").startswith("1"), F.col("n")).otherwise(0)).alias("even"))
     kept = folds.where((F.col("gram") < (3 << 40)) | (F.col("n") > 1)).toArrow()

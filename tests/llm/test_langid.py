@@ -107,3 +107,11 @@ def test_speaking_rejects_what_no_language_explains(spark):
     df = spark.createDataFrame(rows + more, "doc_id bigint, text string, lang string")
     stays = {r.doc_id for r in langid.speaking(df, langid.train(df)).collect()}
     assert max(stays) < 1000 and len([d for d in stays if d >= 500]) >= 48 and len(stays) >= 245
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rnd = random.Random(12)
+    rows = [(i, text("aa", 40, rnd), "aa") for i in range(30)] + [(100 + i, text("bb", 4000, rnd), "bb") for i in range(6)] + [(200 + i, text("bb", 30, rnd), None) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert min(len(t) for d, t, _ in rows if 100 <= d < 200) > 20_000
+    assert {r.lang_pred for r in langid.identified(df).where("doc_id >= 200").collect()} == {"bb"}
