@@ -17,12 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 20
 
 U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 SEPARATOR = np.zeros(256, bool)
@@ -42,24 +41,6 @@ def salted(seed: int) -> np.uint64:
     return U((seed * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)
 
 
-class _Powers:
-    """Powers of the hash's base and of its inverse, as far as a text needs."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, U)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            m = max(n, 2 * len(self.up), 1 << 16)
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate([np.ones(1, U), np.full(m - 1, _P, U)]), dtype=U)
-                self.down = np.cumprod(np.concatenate([np.ones(1, U), np.full(m - 1, _PINV, U)]), dtype=U)
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
 @dataclass
 class Texts:
     """Rows of one slice: ``data[offsets[i]:offsets[i + 1]]`` is row i; null is empty."""
@@ -116,15 +97,37 @@ def flat(texts: pa.Array) -> Texts:
     return Texts(data, np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)]), valid)
 
 
+#: Words up to so many bytes are hashed side by side, longer ones one by one.
+LONG_WORD = 64
+#: The low 0 to 8 bytes of a 64-bit integer.
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+
+
 def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges of ``data`` by prefix sums of one polynomial."""
+    """64-bit hashes of byte ranges of ``data``.
+
+    Eight bytes at a time go through a bijective mixer whose state holds all bytes
+    before, so that no family of words meets by construction (as it would under a
+    polynomial modulo 2^64); words of equal length up to eight bytes never meet.
+    """
+    out = np.zeros(len(start), U)
     if not len(start):
-        return np.zeros(0, U)
-    up, down = _POWERS.upto(len(data) + 1)
+        return out
+    size = (end - start).astype(np.int64)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * _M2)
+        out[:] = mix(size.astype(U) * _M2 + salted(5))
+        for i in np.flatnonzero(size > LONG_WORD):
+            out[i] ^= U(xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes()))
+        left = np.flatnonzero(size <= LONG_WORD)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        for at in range(0, LONG_WORD, 8):
+            left = left[size[left] > at]
+            if not len(left):
+                break
+            part = eights[start[left] + at] & _LOW[np.minimum(size[left] - at, 8)]
+            out[left] = mix(out[left] ^ part)
+        return out
 
 
 def words(texts: Texts, data: np.ndarray | None = None) -> Words:
@@ -148,7 +151,7 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     whole = np.arange(n) + size <= row_end
     out = np.zeros(n, U)
     with np.errstate(over="ignore"):
-        for k in range(size):
+        for k in range(min(size, n)):
             part = h[k:] * salted(k + 1)
             out[: n - k] += (part ^ (part >> U(29))) * _M1
     return mix(out), whole
