@@ -49,11 +49,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.scratch import texts_of, written
+from plumbline.llm.exact_dedup import text_hash, without
+from plumbline.llm.scratch import few, texts_of, written
 from plumbline.llm.textbatch import LOWER, SLICE_BYTES, Texts, U, mix, salted, shingles, slices, words
 
 #: k2 and n2: differing elements allowed in a range, and its sub-ranges.
@@ -68,10 +70,9 @@ CHUNK = 64
 BLOCK, ELEMENTS, COLUMNS = 1024, 1 << 18, 4096
 #: Ratio of the bounds of size bands for prefixes.
 WIDTH = 1.05
-#: Up to so many ids are broadcast (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 
 EDGE = pa.schema({"kind": pa.int32(), "sig": pa.int64(), "a": pa.int64(), "b": pa.int64(), "rank": pa.int64()})
+SETS = "row bigint, doc_id bigint, text_sha256 string, n bigint, h1 bigint, h2 bigint, packed binary, sketch binary"
 EDGES = "kind int, sig bigint, a bigint, b bigint, rank bigint"
 
 
@@ -125,6 +126,7 @@ def least_distance(one: bytes, two: bytes) -> int:
 def _fingerprints(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
+        row = TaskContext.get().partitionId() << 40
         for batch, texts in slices(batches):
             sets = element_sets(texts, size)
             n = np.array([len(x) for x in sets], np.int64)
@@ -133,7 +135,9 @@ def _fingerprints(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 two = np.array([mix(x ^ salted(12)).sum() for x in sets], U)
             packed = [pack.compress(texts.raw(i)) if n[i] else None for i in range(len(texts))]
             sketches = [sketch(x) if len(x) else None for x in sets]
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(packed, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "n", "h1", "h2", "packed", "sketch"])
+            own = pa.array(np.arange(row, row + len(texts), dtype=np.int64))
+            row += len(texts)
+            yield pa.record_batch([own, *batch.columns[:2], pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(packed, pa.binary()), pa.array(sketches, pa.binary())], names=[x.split()[0] for x in SETS.split(", ")])
 
     return run
 
@@ -505,10 +509,7 @@ def _by_blocks(runs: DataFrame, packed: DataFrame, sizes: DataFrame, labels: Dat
 
 def _of(packed: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``packed`` with these ids; a broadcast only of a counted, bounded set."""
-    ids = written(ids, "ids").withColumnRenamed("id", "doc_id")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return packed.join(ids, "doc_id", "left_semi")
+    return packed.join(few(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -526,29 +527,36 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 @dataclass
 class JaccardClasses:
-    """members: doc_id, n_shingles, class_id, component_id of every row.
-    links: verified links (a, b) between class representatives that join the components."""
+    """members: doc_id, n_shingles, class_id, component_id of every row; class_id is the
+    smallest doc_id of the rows with the same set, component_id that of its component.
+    links: verified links (a, b) between classes, by class_id, that join the components."""
 
     members: DataFrame
     links: DataFrame | None
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> JaccardClasses:
-    """Components of ``docs`` (doc_id, text; other columns are ignored) under ``rule``.
+@dataclass
+class _Found:
+    """rows: row, doc_id, text_sha256, n, node (the class; null without a set), class_id.
+    classes: node, class_id, n. labels (node, root) and links (a, b) between nodes."""
 
-    Null text counts as empty; a row with a null doc_id keeps null ids and links
-    with nothing; a row that occurs twice comes out twice; an empty table gives
-    an empty result.
-    """
-    sets = written(texts_of(docs).mapInArrow(_fingerprints(rule.size), "doc_id bigint, n bigint, h1 bigint, h2 bigint, packed binary, sketch binary"), "sets")
-    classes = written(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    usable = sets.where("n > 0 AND doc_id IS NOT NULL")
+    rows: DataFrame
+    classes: DataFrame
+    labels: DataFrame | None
+    links: DataFrame | None
+
+
+def _found(docs: DataFrame, rule: Rule, hashed: bool) -> _Found:
+    own = text_hash(F.col("text")) if hashed else F.lit(None).cast("string")
+    sets = written(texts_of(docs, own.alias("text_sha256")).mapInArrow(_fingerprints(rule.size), SETS), "sets")
+    classes = written(sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("class_id")), "classes")
+    usable = sets.where("n > 0").select(F.col("row").alias("doc_id"), "n", "packed", "sketch")
     packed = usable.select("doc_id", "packed")
-    nodes = packed.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id")
+    nodes = packed.join(classes.select(F.col("node").alias("doc_id")), "doc_id")
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    sizes = classes.groupBy(F.col("class_id").alias("a")).agg(F.max("n").alias("n"))
+    sizes = classes.select(F.col("node").alias("a"), "n")
     signed = nodes.mapInArrow(_signed(rule), SIGNED)
     for by_prefix in (False, True):
         found = written(signed.repartition("key").sortWithinPartitions("key", "rank", "a").mapInArrow(_edges, EDGES), "found")
@@ -582,13 +590,30 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> JaccardClasses:
         links = new if links is None else links.unionByName(new)
         labels = components(links)
 
-    by_set = sets.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    members = by_set.select("doc_id", F.col("n").alias("n_shingles"), own.alias("class_id"))
-    if labels is None:
-        return JaccardClasses(members.withColumn("component_id", F.col("class_id")), links)
-    roots = labels.select(F.col("node").alias("class_id"), "root")
-    joined = members.join(roots, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("root", "class_id").alias("component_id"))
+    rows = sets.select("row", "doc_id", "text_sha256", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").drop("h1", "h2")
+    return _Found(rows, classes, labels, links)
+
+
+def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> JaccardClasses:
+    """Components of ``docs`` (doc_id, text; other columns are ignored) under ``rule``.
+
+    Rows are what is linked: rows that share a doc_id are linked by their texts alone,
+    and a row that occurs twice comes out twice. Null doc_ids are never the smallest;
+    class_id and component_id are null where no row has one. Null text counts as
+    empty; rows without a word form a class each. An empty table gives an empty result.
+    """
+    found = _found(docs, rule, False)
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    members = found.rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("class_id"), "node")
+    if found.labels is None or found.links is None:
+        return JaccardClasses(members.select("doc_id", "n_shingles", "class_id", F.col("class_id").alias("component_id")), None)
+    named = found.classes.select("node", F.col("class_id").alias("its_id"))
+    grown = found.labels.select("node", "root").unionByName(found.labels.select(F.col("root").alias("node"), "root").distinct())
+    least = grown.join(named, "node").groupBy("root").agg(F.min("its_id").alias("least"))
+    component = few(grown.join(least, "root").select("node", "root", "least"))
+    joined = members.join(component, "node", "left").select("doc_id", "n_shingles", "class_id", F.when(F.col("root").isNull(), F.col("class_id")).otherwise(F.col("least")).alias("component_id"))
+    one, two = (named.select(F.col("node").alias(c), F.col("its_id").alias(f"{c}_id")) for c in "ab")
+    links = found.links.join(one, "a").join(two, "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     return JaccardClasses(joined, links)
 
 
@@ -600,7 +625,16 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """``docs`` with the smallest doc_id of every component; rows without a set stay."""
-    members = jaccard_components(docs, rule).members
-    gone = members.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with exactly one row of every component, and all rows without a word.
+
+    It is the row of the smallest doc_id (null comes last), of rows with the same
+    doc_id that of the least SHA-256 of its text, and of equal rows any one.
+    """
+    found = _found(docs, rule, True)
+    rows = _labelled(found.rows.where("node IS NOT NULL").withColumnRenamed("node", "a"), found.labels)
+    each = written(rows.groupBy("root", "doc_id", "text_sha256").agg(F.count("*").alias("n")), "each")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_sha256"))
+    several = few(each.groupBy("root").agg(F.min(rank).alias("best"), F.count("*").alias("rows")).where("rows > 1").select("root", F.col("best.text_sha256").alias("best_text"), F.col("best.doc_id").alias("best_id")))
+    chosen = F.col("best_text").isNull() | (F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_sha256") == F.col("best_text")))
+    judged = written(each.join(several, "root", "left").select("doc_id", "text_sha256", "n", chosen.alias("chosen")), "judged")
+    return without(docs, judged.where("NOT chosen"), judged.where("chosen AND n > 1"))

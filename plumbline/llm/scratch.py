@@ -38,6 +38,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Up to so many narrow rows are broadcast, which is some 50 MB; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` written down and counted; marked for a broadcast only if they are few."""
+    rows = written(rows, "few")
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, ``more`` columns and text of documents, to be read in Python in bounded batches."""
     spark = docs.sparkSession

@@ -76,11 +76,33 @@ def test_large_runs_reach_the_last_step(spark, monkeypatch, small, block):
 def test_empty_repeated_and_null_rows(spark):
     schema = "doc_id bigint, text string, a bigint, b bigint, key string"
     assert jj.jaccard_components(spark.createDataFrame([], schema)).members.count() == 0
-    rows = [(1, "a b c d e f", 1, 2, "k"), (1, "a b c d e f", 1, 2, "k"), (None, "a b c d e f", None, None, None), (2, None, None, None, None)]
+    rows = [(1, "a b c d e f", 1, 2, "k"), (1, "a b c d e f", 1, 2, "k"), (None, "a b c d e f", None, None, None), (None, "x y", None, None, None), (2, None, None, None, None)]
     df = spark.createDataFrame(rows, schema)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jj.jaccard_components(df).members.collect()), key=str)
-    assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, None), (2, 0, 2)], key=str)
-    assert [r.doc_id for r in jj.keep_one(df).orderBy("doc_id").collect()] == [None, 1, 1, 2]
+    assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, 1), (None, 1, None), (2, 0, 2)], key=str)
+    assert [(r.doc_id, r.text) for r in jj.keep_one(df).orderBy("doc_id").collect()] == [(None, "x y"), (1, "a b c d e f"), (2, None)]
+
+
+def test_rows_are_kept_not_ids(spark):
+    t, near, other = "one two three four five six seven eight nine ten eleven", "one two three four five six seven eight nine ten twelve", "quite another text of some words that no one has"
+    rows = [(5, t), (1, t), (5, other), (5, other), (None, near), (7, "hello world"), (7, "Hello world"), (None, ""), (8, None), (8, None)]
+    df = spark.createDataFrame([(x, d, "k") for d, x in rows], "text string, doc_id bigint, root string")
+    for percent in (80, 60):
+        stays = jj.keep_one(df, jj.Rule(5, percent))
+        assert stays.columns == df.columns
+        got = sorted(((r.doc_id, r.text) for r in stays.collect()), key=str)
+        hellos = [x for x in got if x[0] == 7]
+        assert len(hellos) == 1  # equal but for capitals
+        want = [(1, t), (5, other), (None, ""), (8, None), (8, None)] + ([(None, near)] if percent == 80 else [])
+        assert [x for x in got if x[0] != 7] == sorted(want, key=str)
+
+
+def test_slices_of_two_words(spark):
+    df = spark.createDataFrame([(1, "hello world")], "doc_id bigint, text string")
+    assert [tuple(r) for r in jj.jaccard_components(df).members.collect()] == [(1, 1, 1, 1)]
+    long = "word " * 300_000
+    df = spark.createDataFrame([(1, long), (2, "two words"), (3, long), (4, "two words")], "doc_id bigint, text string").coalesce(1)
+    assert sorted((r.doc_id, r.component_id) for r in jj.jaccard_components(df).members.collect()) == [(1, 1), (2, 2), (3, 1), (4, 2)]
 
 
 def test_linked_sets_always_share_a_signature():
