@@ -11,25 +11,28 @@ How it finds links without comparing all pairs:
    class goes on. Copies are therefore never paired with each other.
 2. Sizes are cut into bands. Within a band, and between a band and the next,
    linked sets differ in at most ``k`` elements (their Hamming distance). The
-   64-bit domain of elements is cut into ``n1`` equal ranges of ``n2``
-   sub-ranges each; by the pigeonhole principle some range has at most ``k2``
-   differing elements, hence some ``n2 - k2`` of its sub-ranges agree. A
-   signature is the hash of one such choice, so linked sets share one.
-3. Where few documents share a signature, all their pairs are candidates.
-   Where more than ``SMALL_RUN`` do, each is compared with one centre only. If
-   that leaves the run in more than one component, which happens where documents
-   share a passage or are distant copies of one text, its documents are signed
-   again by prefixes: elements in the order of their frequency among these
-   documents, rarest first. Two linked sets of n and m elements share at least
-   ``o = ceil(percent * (n + m) / (100 + percent))``, so one of the first
-   ``n - o + 1`` of each; m is known but for the width of a narrow band. Elements
-   of one document alone come first in that order, and use up the prefix of a
-   document that has too many of them to link with anything; a shared passage
-   comes last. The centre of a run is the document with the fewest elements of
-   its own. The runs that are still unsettled then, of distant copies of one
-   text, are compared whole: in blocks of bounded size, of which each pair is one
-   product of matrices (documents by elements), and which give only links that
-   join components. So no link is lost at any size, and no pairs are listed.
+   64-bit domain of elements is cut into ``n1`` equal ranges of ``n2`` sub-ranges
+   each; by the pigeonhole principle some range has at most ``k2`` differing
+   elements, hence some ``n2 - k2`` of its sub-ranges agree. A signature is the
+   hash of one such choice of sub-ranges; all choices are enumerated, so linked
+   sets share one. ``shape`` sets k2 and n2 for a band.
+3. Where few documents share a signature, all their pairs are candidates. Where
+   more than ``small_run`` do, each is compared with one centre only. A run that
+   this leaves in more than one component, which happens where documents share a
+   passage or are distant copies of one text, is split by finer signatures: its
+   documents are signed again by prefixes, elements in the order of their
+   frequency among these documents, rarest first. Two linked sets of n and m
+   elements share at least ``o = ceil(percent * (n + m) / (100 + percent))``, so
+   one of the first ``n - o + 1`` of each; m is known but for the width of a narrow
+   band. Elements of one document alone come first in that order, and use up the
+   prefix of a document that has too many of them to link with anything; a shared
+   passage comes last. The centre of a run is the document with the fewest elements
+   of its own. The runs that are still unsettled then, of distant copies of one
+   text, are compared whole: in blocks, of which each pair is compared by products
+   of matrices (documents by elements), and which give only links that join
+   components. A block grows with the square root of its run up to a bound, so a
+   text of a run of n documents is sent about sqrt(n) / 32 times, at most n / 8192
+   times beyond 65,536. So no link is lost at any size, and no pairs are listed.
 4. Candidates are verified, first one for each document, then those between
    components that are still apart. A sketch of each set, its numbers of elements
    in 64 or 256 ranges, bounds the distance of a pair from below; texts are read
@@ -58,16 +61,17 @@ from plumbline.llm.exact_dedup import text_hash, without
 from plumbline.llm.scratch import few, texts_of, written
 from plumbline.llm.textbatch import LOWER, SLICE_BYTES, Texts, U, mix, salted, shingles, slices, words
 
-#: k2 and n2: differing elements allowed in a range, and its sub-ranges.
-K2, N2 = 0, 1
-#: Runs up to this length give all their pairs.
-SMALL_RUN = 8
+#: Up to this distance ranges have three sub-ranges, beyond it two: sets with many
+#: elements have strong signatures anyway, and many of them.
+FINE = 64
 #: Ranges of a sketch, and of that of a set of at least so many elements.
 FEW, MANY, LARGE_SET = 64, 256, 2000
 #: Members compared with one reading of their centre.
 CHUNK = 64
-#: Members and elements of a block of a run at most (on average), and elements in a matrix at a time.
-BLOCK, ELEMENTS, COLUMNS = 1024, 1 << 18, 4096
+#: Members and elements of a tile, in which a block is compared, and elements in a matrix at a time.
+TILE, ELEMENTS, COLUMNS = 1024, 1 << 18, 4096
+#: A block has so many tiles at most (on average), in members and in elements.
+TILES = 8
 #: Ratio of the bounds of size bands for prefixes.
 WIDTH = 1.05
 
@@ -78,10 +82,13 @@ EDGES = "kind int, sig bigint, a bigint, b bigint, rank bigint"
 
 @dataclass(frozen=True)
 class Rule:
-    """Shingle length in words and the least similarity in percent."""
+    """Shingle length in words, the least similarity in percent, and how the work is cut:
+    runs up to ``small_run`` give all their pairs, and tiles have ``tile`` members at most."""
 
     size: int = 5
     percent: int = 80
+    small_run: int = 8
+    tile: int = TILE
 
 
 # --------------------------------------------------------------------------- sets
@@ -184,6 +191,11 @@ class Bands:
         return [(b, k) for b in out if (k := 2 * self.last[b] * (100 - self.percent) // (100 + self.percent)) > 0]
 
 
+def shape(k: int) -> tuple[int, int]:
+    """k2 and n2 of a distance: differing elements allowed in a range, and its sub-ranges."""
+    return (1, 3) if k <= FINE else (1, 2)
+
+
 @lru_cache(4096)
 def _ranges(k: int, k2: int, n2: int) -> tuple[int, int, np.ndarray]:
     """Ranges n1, spare ranges, and the lower bounds of all sub-ranges.
@@ -195,13 +207,13 @@ def _ranges(k: int, k2: int, n2: int) -> tuple[int, int, np.ndarray]:
     signatures, and those of one or no element, in which documents with a common
     passage would meet, are hardly ever left.
     """
-    spare = 1 + 3 * k // 10
+    spare = 1 + k // 10
     n1 = k // (k2 + 1) + 1 + spare
     m = n1 * n2
     return n1, spare, np.array([(j << 64) // m for j in range(1, m)], U)
 
 
-def signatures(elements: np.ndarray, bands: Bands, k2: int = K2, n2: int = N2) -> np.ndarray:
+def signatures(elements: np.ndarray, bands: Bands, shape: Callable[[int], tuple[int, int]] = shape) -> np.ndarray:
     """PartEnum signatures of one set (ascending distinct hashes)."""
     own = bands.of(len(elements))
     if not own:
@@ -210,6 +222,7 @@ def signatures(elements: np.ndarray, bands: Bands, k2: int = K2, n2: int = N2) -
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, U), np.cumsum(mix(elements ^ salted(200)), dtype=U)])
         for band, k in own:
+            k2, n2 = shape(k)
             n1, spare, lower = _ranges(k, k2, n2)
             at = np.concatenate([[0], np.searchsorted(elements, lower), [len(elements)]])
             sums = np.diff(total[at]).reshape(n1, n2)
@@ -224,8 +237,8 @@ def signatures(elements: np.ndarray, bands: Bands, k2: int = K2, n2: int = N2) -
 SIGNED = "key bigint, a bigint, rank bigint, b bigint, sig bigint"
 
 
-def _combined(sig: np.ndarray, doc: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (key, a, rank, b, sig). A signature that more than SMALL_RUN documents of
+def _combined(sig: np.ndarray, doc: np.ndarray, rank: np.ndarray, small_run: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, a, rank, b, sig). A signature that more than small_run documents of
     a slice share goes on once (b = a), for the one of least rank; the others become
     edges to that one, with a key of their own, so that no key gathers a large group."""
 
@@ -239,7 +252,7 @@ def _combined(sig: np.ndarray, doc: np.ndarray, rank: np.ndarray) -> Iterator[pa
     sig, doc, rank = sig[order], doc[order], rank[order]
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     length = np.diff(np.append(first, len(sig)))
-    hot = np.repeat(length > SMALL_RUN, length)
+    hot = np.repeat(length > small_run, length)
     if hot.any():
         centre, its_rank = np.repeat(doc[first], length), np.repeat(rank[first], length)
         head = np.zeros(len(sig), bool)
@@ -259,7 +272,7 @@ def _signed(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         for (ids,), texts in _unpacked(batches, ["doc_id"]):
             signed = [signatures(x, bands) for x in element_sets(texts, rule.size)]
             doc = np.repeat(ids, [len(x) for x in signed])
-            yield from _combined(np.concatenate([*signed, np.zeros(0, U)]), doc, np.zeros(len(doc), np.int64))
+            yield from _combined(np.concatenate([*signed, np.zeros(0, U)]), doc, np.zeros(len(doc), np.int64), rule.small_run)
 
     return run
 
@@ -275,10 +288,13 @@ def _elements(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _combine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        key, doc, rank = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
-        yield from _combined(key.view(U), doc, rank)
+def _combine_rows(small_run: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, doc, rank = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            yield from _combined(key.view(U), doc, rank, small_run)
+
+    return run
 
 
 def _band(size: Column) -> Column:
@@ -306,10 +322,10 @@ def _by_prefix(nodes: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
     partner = F.explode(F.filter(F.sequence(_band(fewest), _band(F.ceil(n * 100 / percent))), reaches)).alias("other")
     rows = some.select("element", "a", "alone", _band(n).alias("band"), partner)
     key = F.xxhash64("element", F.least("band", "other"), F.greatest("band", "other"))
-    return rows.select(key.alias("key"), "a", F.col("alone").alias("rank")).mapInArrow(_combine_rows, SIGNED)
+    return rows.select(key.alias("key"), "a", F.col("alone").alias("rank")).mapInArrow(_combine_rows(rule.small_run), SIGNED)
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _edges(batches: Iterator[pa.RecordBatch], small_run: int) -> Iterator[pa.RecordBatch]:
     """Candidate pairs from rows sorted by key, rank, a. kind 0: a pair of a small
     run; kind 1: a member and the centre of a large run, with its signature. Only
     the run at the end of a batch is held, and of a large run only its centre."""
@@ -337,10 +353,10 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = np.diff(np.append(first, len(key)))
         any_marked = np.add.reduceat(marked, first, dtype=np.int64) > 0
         done = len(key)
-        if not last and length[-1] <= SMALL_RUN:
+        if not last and length[-1] <= small_run:
             done = int(first[-1])  # the run may go on in the next batch
             first, length, any_marked = first[:-1], length[:-1], any_marked[:-1]
-        big = (length > SMALL_RUN) | any_marked
+        big = (length > small_run) | any_marked
         in_big = np.repeat(big, length)
         k, x, r = key[:done], a[:done], rank[:done]
         if in_big.any():
@@ -349,7 +365,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not last and big[-1] and done == len(key):
                 large = (int(k[-1]), int(centre[-1]), int(its_rank[-1]))
         k, x, r = k[~in_big], x[~in_big], r[~in_big]
-        for d in range(1, SMALL_RUN):
+        for d in range(1, small_run):
             both = np.flatnonzero((k[d:] == k[:-d]) & (x[d:] != x[:-d])) if len(k) > d else empty
             if not len(both):
                 break
@@ -426,8 +442,31 @@ def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(_verified(rule), "a bigint, b bigint").distinct()
 
 
-def _joined_by(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links among the sets that join different roots, as a forest."""
+def _tiles(sets: list[np.ndarray], chosen: np.ndarray, tile: int) -> list[np.ndarray]:
+    """The chosen sets in runs of bounded numbers of members and elements."""
+    size = np.array([len(sets[i]) for i in chosen], np.int64)
+    number = np.maximum(np.arange(len(chosen)) // tile, (np.cumsum(size) - size) // ELEMENTS)
+    return [chosen[number == k] for k in np.unique(number)]
+
+
+def _joined_by(sets: list[np.ndarray], roots: np.ndarray, side: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
+    """Links that join different roots, as a forest: among all sets, or if both sides occur, between these."""
+    root, out = roots.copy(), []
+    sides = [_tiles(sets, np.flatnonzero(side == x), rule.tile) for x in np.unique(side)]
+    pairs = [(x, y) for i, x in enumerate(sides[0]) for y in sides[0][i:]] if len(sides) == 1 else [(x, y) for x in sides[0] for y in sides[1]]
+    for x, y in pairs:
+        both = x if x is y else np.concatenate([x, y])
+        if (root[both] == root[both[0]]).all():
+            continue
+        for i, j in _linked([sets[k] for k in both], root[both], rule.percent):
+            a, b = both[i], both[j]
+            out.append((int(a), int(b)))
+            root[root == root[a]] = root[b]
+    return out
+
+
+def _linked(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among a few sets that join different roots, as a forest."""
     n = np.array([len(x) for x in sets], np.float64)
     every = np.concatenate(sets)
     doc = np.repeat(np.arange(len(sets)), n.astype(np.int64))
@@ -463,29 +502,28 @@ def _joined_by(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[
 
 
 def _compare_blocks(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (sig, x, y, a, root, packed), sorted: one pair of blocks of a run after another."""
+    """Rows (sig, x, y, own, a, root, packed), sorted: one pair of blocks of a run after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple[int, int, int] | None = None
-        ids: list[int] = []
-        roots: list[int] = []
+        held: list[tuple[int, int, int]] = []
         sets: list[np.ndarray] = []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1 and len(set(roots)) > 1:
-                found = _joined_by(sets, np.array(roots), rule.percent)
+            own, ids, roots = (np.array(x, np.int64) for x in zip(*held)) if held else (np.zeros(0, np.int64),) * 3
+            one_side = key is not None and key[1] != key[2] and len(np.unique(own)) < 2
+            if len(held) > 1 and not one_side and (roots != roots[0]).any():
+                found = _joined_by(sets, roots, own, rule)
                 yield pa.record_batch([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], names=["a", "b"])
-            ids.clear()
-            roots.clear()
+            held.clear()
             sets.clear()
 
-        for (sig, x, y, a, root), texts in _unpacked(batches, ["sig", "x", "y", "a", "root"]):
+        for (sig, x, y, own, a, root), texts in _unpacked(batches, ["sig", "x", "y", "own", "a", "root"]):
             for i, elements in enumerate(element_sets(texts, rule.size)):
                 if (sig[i], x[i], y[i]) != key:
                     yield from close()
                     key = (sig[i], x[i], y[i])
-                ids.append(int(a[i]))
-                roots.append(int(root[i]))
+                held.append((int(own[i]), int(a[i]), int(root[i])))
                 sets.append(elements)
         yield from close()
 
@@ -498,12 +536,15 @@ def _by_blocks(runs: DataFrame, packed: DataFrame, sizes: DataFrame, labels: Dat
     parts = [F.sum(F.xxhash64("a", F.lit(i)).cast("decimal(20,0)")).alias(f"part{i}") for i in range(2)]
     each = member.join(sizes, "a").groupBy("sig").agg(F.count("*").alias("members"), F.sum("n").alias("elements"), *parts)
     # Of runs with the same members one is enough.
-    many = each.groupBy("members", "elements", "part0", "part1").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("elements") / ELEMENTS)).alias("blocks"))
+    def blocks(amount: str, tile: int) -> Column:
+        return F.col(amount) / F.least(F.greatest(F.lit(float(tile)), F.sqrt(F.lit(float(tile)) * F.col(amount))), F.lit(float(TILES * tile)))
+
+    many = each.groupBy("members", "elements", "part0", "part1").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.greatest(blocks("members", rule.tile), blocks("elements", ELEMENTS))).alias("blocks"))
     own = F.pmod(F.xxhash64("a"), F.col("blocks"))
     dealt = _labelled(member, labels).join(many, "sig").select("sig", "a", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-    dealt = written(dealt.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "a", "root"), "blocks")
+    dealt = written(dealt.select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "a", "root"), "blocks")
     texts = _of(packed, dealt.select(F.col("a").alias("id")).distinct())
-    rows = dealt.join(texts.withColumnRenamed("doc_id", "a"), "a").select("sig", "x", "y", "a", "root", "packed")
+    rows = dealt.join(texts.withColumnRenamed("doc_id", "a"), "a").select("sig", "x", "y", "own", "a", "root", "packed")
     return rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(_compare_blocks(rule), "a bigint, b bigint").distinct()
 
 
@@ -552,14 +593,16 @@ def _found(docs: DataFrame, rule: Rule, hashed: bool) -> _Found:
     classes = written(sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("class_id")), "classes")
     usable = sets.where("n > 0").select(F.col("row").alias("doc_id"), "n", "packed", "sketch")
     packed = usable.select("doc_id", "packed")
-    nodes = packed.join(classes.select(F.col("node").alias("doc_id")), "doc_id")
+    nodes = packed.join(few(classes.select(F.col("node").alias("doc_id"))), "doc_id")
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
     sizes = classes.select(F.col("node").alias("a"), "n")
     signed = nodes.mapInArrow(_signed(rule), SIGNED)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for by_prefix in (False, True):
-        found = written(signed.repartition("key").sortWithinPartitions("key", "rank", "a").mapInArrow(_edges, EDGES), "found")
+        # A fixed number of parts: these rows are small, but what is done with them is not.
+        found = written(signed.repartition(parts, "key").sortWithinPartitions("key", "rank", "a").mapInArrow(lambda rows: _edges(rows, rule.small_run), EDGES), "found")
         pairs = written(found.where("a <> b").groupBy("a", "b").agg(F.max("kind").alias("kind"), F.min("rank").alias("rank")), "pairs")
         # First one candidate of each document (a centre if it has one), then what is still apart.
         best = F.min_by("b", F.struct(-F.col("kind"), F.col("rank"), F.col("b"))).alias("b")

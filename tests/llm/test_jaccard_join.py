@@ -62,17 +62,32 @@ def test_against_brute_force(spark, size, percent, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, size, percent)
 
 
-@pytest.mark.parametrize("small,block", [(1, 3), (2, 256)])
-def test_large_runs_reach_the_last_step(spark, monkeypatch, small, block):
-    monkeypatch.setattr(jj, "SMALL_RUN", small)
-    monkeypatch.setattr(jj, "BLOCK", block)
-    monkeypatch.setattr(jj, "COLUMNS", 64)
+@pytest.mark.parametrize("small,tile", [(1, 3), (2, 256)])
+def test_large_runs_reach_the_last_step(spark, small, tile):
     rows = made(4, 220)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
-    got = jj.jaccard_components(df, jj.Rule(4, 85)).members
+    got = jj.jaccard_components(df, jj.Rule(4, 85, small, tile)).members
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 4, 85)
 
 
+def test_distant_copies_of_one_text(spark):
+    """A run in which no centre links with all, and many documents that share a passage."""
+    rnd = random.Random(11)
+    base, passage = [f"b{i}" for i in range(120)], [f"p{i}" for i in range(60)]
+    rows = []
+    for d in range(150):
+        w = base.copy()
+        for _ in range(rnd.choice([1, 2, 3, 4])):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(6)}"
+        rows.append((d, " ".join(w)))
+    for d in range(150, 260):
+        rows.append((d, " ".join([f"u{rnd.randrange(10_000)}" for _ in range(rnd.randrange(5, 40))] + passage)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = jj.jaccard_components(df, jj.Rule(4, 85, 3, 16)).members
+    want = brute(rows, 4, 85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want and len({c for _, _, c in want}) > 100
+
+
 def test_empty_repeated_and_null_rows(spark):
     schema = "doc_id bigint, text string, a bigint, b bigint, key string"
     assert jj.jaccard_components(spark.createDataFrame([], schema)).members.count() == 0
@@ -110,7 +125,7 @@ def test_linked_sets_always_share_a_signature():
     for percent in (80, 85, 95):
         bands = jj.Bands(percent)
         for n in (3, 7, 8, 13, 14, 20, 33, 60, 150, 700):
-            for k2, n2 in ((0, 1), (1, 3), (2, 5)):
+            for k2, n2 in ((0, 1), (1, 2), (1, 3), (2, 5)):
                 for _ in range(25):
                     a = rnd.integers(0, 1 << 63, n).astype(np.uint64)
                     k = int(rnd.integers(0, 1 + n * (100 - percent) // 100))
@@ -121,7 +136,7 @@ def test_linked_sets_always_share_a_signature():
                     a, b = np.unique(a), np.unique(b)
                     common = len(np.intersect1d(a, b))
                     if len(b) and 100 * common >= percent * (len(a) + len(b) - common) and common < len(a):
-                        assert np.isin(jj.signatures(a, bands, k2, n2), jj.signatures(b, bands, k2, n2)).any()
+                        assert np.isin(jj.signatures(a, bands, lambda _: (k2, n2)), jj.signatures(b, bands, lambda _: (k2, n2))).any()
 
 
 def test_element_sets_are_exact():
@@ -146,7 +161,10 @@ def test_blocks_give_a_forest_of_all_links():
             if 100 * k >= 85 * (len(sets[i]) + len(sets[j]) - k):
                 root = [root[j] if r == root[i] else r for r in root]
     got = list(range(40))
-    links = jj._joined_by(sets, roots, 85)
+    links = jj._joined_by(sets, roots, np.zeros(40, np.int64), jj.Rule(4, 85, 8, 7))
+    sides = np.arange(40) % 2
+    for i, j in jj._joined_by(sets, roots, sides, jj.Rule(4, 85, 8, 7)):
+        assert root[i] == root[j]
     for i, j in links:
         got = [got[j] if r == got[i] else r for r in got]
     assert len(links) == 40 - len(set(root))
