@@ -180,6 +180,12 @@ def decode(ids: np.ndarray, path: str) -> bytes:
 
 def _encoded(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:  # Spark keeps Python workers
+            _tools(path)[0].forget()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             ids = [encode(texts.raw(i).decode("utf-8", "replace"), path) for i in range(len(texts))]
             columns = [batch.column(0), pa.array([len(x) for x in ids], pa.int64())]

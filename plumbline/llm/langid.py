@@ -7,23 +7,33 @@ distinct / (total + distinct)) and then what it costs in the next shorter
 context, at last 8 bits. The statistics are frozen after training, so the code
 length of a text is exact and a text's language is the one with the shortest.
 
-Words (runs of bytes that are ASCII letters, lower-cased, or not ASCII) are
-coded each with one space before and after it, and contexts end at that space.
-A word's code length then depends on the word alone, so each distinct word of a
-slice of texts is coded once, for all languages at a time: the costs of all
-grams seen in training are tabulated in a hash table that numpy probes.
-
-Training reads at most ``per_language`` documents of each label: those of at most
-``longest`` bytes with the least hash of doc_id, and where there are too few of
-them, the first ``longest`` characters of longer ones. It keeps grams of three
-and more bytes that occur twice. score is the posterior of the language from
-the code lengths under equal priors, so it says nothing of texts in none of the
-languages; ``speaking`` therefore also wants a text's bits per byte to be within
-its language's limit. Limits are learned from the sample by two folds: each text
-is coded by a model of the other fold, and the limit is SLACK times what all but
-OUTSIDE of the language's texts need at most. Texts that are null or without a letter
-are ``und`` with score 0, and so is every text if nothing was learned. Rows are
-judged one by one; an empty table gives an empty result.
+What is coded is the whole text in a plain form: words (runs of bytes that are ASCII
+letters, lower-cased, or not ASCII) with one space between them and at both ends;
+the first space is free. Contexts reach over spaces into the words before. All
+positions of a slice of texts are coded side by side: the costs of all grams seen
+in training are tabulated in a hash table that numpy probes, so most bytes take
+one look-up for all languages.
+
+Grams of three and more bytes that training saw once aren't kept. Their contexts'
+totals and numbers of distinct symbols still count them, and their share goes to
+the escape, so that what is left is a proper code.
+
+Training reads about ``per_language`` documents of each label (fewer if ``total``
+would be passed, all if there are no more): of those of at most ``longest`` bytes,
+and where these are too few, of the first ``longest`` characters of longer ones, those
+whose hash of doc_id lies below the share that is wanted; no task ranks a
+language's rows. score is the posterior of the language from the code lengths under
+equal priors, so it says nothing of texts in none of the languages; ``speaking``
+therefore also wants a text's bits per byte to be within its language's limit.
+Limits are learned from the sample by two folds: each text is coded by a model of
+the other fold, and the limit is SLACK times what all but OUTSIDE of the language's
+texts need at most.
+
+Texts that are null or without a letter are ``und`` with score 0, and so is every
+text if nothing was learned. Of equal code lengths the language first by name wins.
+Rows are judged one by one, so repeated rows get equal rows; other columns may have
+any name; an empty table gives an empty result. A text of n bytes takes a worker
+about 30 n bytes, since it is coded in segments.
 """
 
 from __future__ import annotations
@@ -34,16 +44,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.scratch import texts_of, written
-from plumbline.llm.textbatch import Texts, U, mix, range_hash, slices
+from plumbline.llm.scratch import below_share, texts_of, written
+from plumbline.llm.textbatch import Texts, U, mix, slices
 
 ORDER = 4
 LETTER = regex.compile(r"\p{L}")
-#: Languages that one model holds at most; the sample is broadcast, so this bounds it.
-MOST_LANGUAGES = 500
+#: Bytes coded at a time.
+SEGMENT = 1 << 18
 OUTSIDE, SLACK = 0.005, 1.2
 
 #: Letters lower-cased; 0x20 for what stands between words.
@@ -56,45 +66,55 @@ CODED[0x61:0x7B] = CODED[0x41:0x5B] = np.arange(0x61, 0x7B)
 class Sample:
     per_language: int = 1500
     longest: int = 20_000
+    total: int = 200_000
 
 
 # --------------------------------------------------------------------------- grams
 
 
-def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """start and end of words in coded bytes, and the first word of each row."""
+def plain(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' words, each with one space after it, and one space before the first;
+    and where each row begins. A row without a word is empty."""
+    data, offsets = CODED[texts.data], texts.offsets
     inside = data != 0x20
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], inside[:-1]]) if n else inside
-    after = np.concatenate([inside[1:], [False]]) if n else inside
     start = np.flatnonzero(inside & (~before | edge[:n]))
-    end = np.flatnonzero(inside & (~after | edge[1 : n + 1])) + 1
-    return start, end, np.searchsorted(start, offsets)
+    row = np.searchsorted(start, offsets)
+    letters = np.concatenate([[0], np.cumsum(inside)])
+    size = np.diff(np.append(letters[start], letters[-1])) + 1
+    leads = np.zeros(len(start), np.int64)
+    leads[row[:-1][np.diff(row) > 0]] = 1
+    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(size + leads)])
+    out = np.full(at[-1], 0x20, np.uint8)
+    inner = np.ones(len(out), bool)
+    inner[at[1:] - 1] = inner[at[:-1][leads == 1]] = False
+    out[inner] = data[inside]
+    return out, at[row]
 
 
-def spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words one after another, each with a space before and after; and where each begins."""
-    size = end - start + 2
-    first = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
-    out = np.full(first[-1], 0x20, np.uint8)
-    inner = np.ones(len(out), bool)
-    inner[first[:-1]] = inner[first[1:] - 1] = False
-    out[inner] = data[np.repeat(start - first[:-1] - 1, size)[inner] + np.flatnonzero(inner)]
-    return out, first
+def places(first: np.ndarray) -> np.ndarray:
+    return np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+
+
+def endings(coded: np.ndarray) -> np.ndarray:
+    """The last ORDER + 1 bytes up to each byte as one integer."""
+    out = coded.astype(np.int64)
+    for k in range(1, ORDER + 1):
+        out[k:] |= coded[: len(coded) - k].astype(np.int64) << (8 * k)
+    return out
+
 
+def gram(ending: np.ndarray, length: int) -> np.ndarray:
+    """The ``length`` bytes that end at a byte as an integer with its length."""
+    return (length << 40) | (ending & ((1 << (8 * length)) - 1))
 
-def grams(coded: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
-    """The ``length`` bytes that end at each byte as an integer with its length; 0 where they
-    would begin before the word's own space, or end with that space."""
-    n = len(coded)
-    key = np.full(n, length << 40, np.int64)
-    for k in range(length):
-        key[k:] |= coded[: n - k].astype(np.int64) << (8 * k)
-    place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
-    key[place < max(1, length - 1)] = 0
-    return key
+
+def begins(length: int) -> int:
+    """The first place in a row of which a gram of this length is coded; the row's own space never is."""
+    return max(1, length - 1)
 
 
 def shorter(key: np.ndarray) -> np.ndarray:
@@ -109,47 +129,63 @@ def context(key: np.ndarray) -> np.ndarray:
     return ((n - 1) << 40) | ((key & ((np.int64(1) << 40) - 1)) >> 8)
 
 
+def counts(coded: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All grams of up to ORDER + 1 bytes with their numbers; shorter ones from longer ones."""
+    ending = endings(coded)
+    keys, n = np.unique(gram(ending[place >= begins(ORDER + 1)], ORDER + 1), return_counts=True)
+    out = [(keys, n)]
+    for length in range(ORDER, 0, -1):
+        more = gram(ending[(place >= begins(length)) & (place < begins(length + 1))], length)
+        keys, at = np.unique(np.concatenate([shorter(keys), more]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, np.ones(len(more), n.dtype)]), len(keys)).astype(np.int64)
+        out.append((keys, n))
+    return np.concatenate([k for k, _ in out]), np.concatenate([n for _, n in out])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n) of each slice."""
+    """(lang, gram, n, even) of each slice; ``even`` counts the rows so marked."""
     for batch, texts in slices(batches):
         names = np.array(batch.column(batch.schema.get_field_index("lang")).to_pylist(), object)
-        data = CODED[texts.data]
+        even = batch.column(batch.schema.get_field_index("even")).to_numpy(zero_copy_only=False).astype(bool)
+        coded, first = plain(texts)
+        place = places(first)
         for lang in dict.fromkeys(names):
-            mine = np.flatnonzero(names == lang)
-            keep = np.zeros(len(texts), bool)
-            keep[mine] = True
-            start, end, row = word_ranges(data, texts.offsets)
-            pick = np.repeat(keep, np.diff(row))
-            coded, first = spaced(data, start[pick], end[pick])
-            every = [g[g > 0] for length in range(1, ORDER + 2) if len(g := grams(coded, first, length))]
-            if not every:
-                continue
-            keys, n = np.unique(np.concatenate(every), return_counts=True)
-            yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], names=["lang", "gram", "n"])
+            for half in (False, True):
+                pick = np.repeat((names == lang) & (even == half), np.diff(first))
+                keys, n = counts(coded[pick], place[pick])
+                yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n), pa.array(n if half else np.zeros_like(n))], names=["lang", "gram", "n", "even"])
 
 
 # --------------------------------------------------------------------------- model
 
 
 class Model:
-    """Costs in bits of all grams seen, and escapes of all contexts seen, for each language."""
+    """Costs in bits of all grams kept, and escapes of their contexts, for each language.
 
-    def __init__(self, languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> None:
+    ``total`` and ``kinds`` are those of each gram's context before anything was left
+    out; without them, of the grams given.
+    """
+
+    def __init__(self, languages: list[str], lang: np.ndarray, grams: np.ndarray, n: np.ndarray, total: np.ndarray | None = None, kinds: np.ndarray | None = None) -> None:
         self.languages = languages
         #: Bits per byte up to which a text is in the language.
         self.limits = np.full(len(languages), np.inf)
-        keys, at = np.unique(gram, return_inverse=True)
-        counts = np.zeros((len(keys), max(1, len(languages))))
-        counts[at, lang] = n
+        keys, at = np.unique(grams, return_inverse=True)
+        shape = (len(keys), max(1, len(languages)))
+        counted = np.zeros(shape)
+        counted[at, lang] = n
         contexts, place = np.unique(context(keys), return_inverse=True) if len(keys) else (keys, at)
-        total = np.zeros((len(contexts), counts.shape[1]))
-        kinds = np.zeros_like(total)
-        np.add.at(total, place, counts)
-        np.add.at(kinds, place, counts > 0)
+        held = np.zeros((len(contexts), shape[1]))
+        np.add.at(held, place, counted)
+        all_, different = held.copy(), np.zeros_like(held)
+        if total is None or kinds is None:
+            np.add.at(different, place, counted > 0)
+        else:
+            all_[place[at], lang], different[place[at], lang] = total, kinds
         with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-            direct = -np.log2(counts / (total + kinds)[place])
-        cost = np.where(counts > 0, direct, 0.0)
+            escape = np.where(held > 0, -np.log2((different + all_ - held) / (all_ + different)), 0.0)
+            direct = -np.log2(counted / (all_ + different)[place])
+        cost = np.where(counted > 0, direct, 0.0)
         for length in range(1, ORDER + 2):  # shorter grams first
             rows = np.flatnonzero(keys >> 40 == length)
             if not len(rows):
@@ -158,25 +194,26 @@ class Model:
                 less = np.full((len(rows), cost.shape[1]), 8.0)
             else:
                 less = self._look(keys, cost, shorter(keys[rows]))
-            cost[rows] = np.where(counts[rows] > 0, cost[rows], escape[place[rows]] + less)
+            cost[rows] = np.where(counted[rows] > 0, cost[rows], escape[place[rows]] + less)
         self.costs = Table(keys, cost.astype(np.float32))
         self.escapes = Table(contexts, escape.astype(np.float32))
 
     @staticmethod
     def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        # A gram's tail was seen whenever the gram was, but counts of one may be dropped.
+        # A gram's tail was seen whenever the gram was, and at least as often, so it was kept.
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where((keys[at] == wanted)[:, None], values[at], 8.0)
 
-    def bits(self, coded: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Code length of every byte, a column for each language; a word's own first space is free."""
-        out = np.zeros((len(coded), len(self.languages)), np.float32)
-        left = np.arange(len(coded))
+    def bits(self, coded: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Code length of every byte, a column for each language; a row's own first space is free."""
+        out = np.zeros((len(coded), max(1, len(self.languages))), np.float32)
+        ending = endings(coded)
+        left = np.flatnonzero(place > 0)
         for length in range(ORDER + 1, 0, -1):
             if not len(left):
                 break
-            key = grams(coded, first, length)[left]
-            use = key > 0
+            use = place[left] >= begins(length)
+            key = gram(ending[left], length)
             at = self.costs.find(key)
             hit = use & (at >= 0)
             out[left[hit]] += self.costs.values[at[hit]]
@@ -188,7 +225,6 @@ class Model:
                 if length == 1:
                     out[rows] += 8.0
             left = left[~hit]
-        out[first[:-1]] = 0.0
         return out
 
 
@@ -229,31 +265,41 @@ class Table:
         return out
 
 
-def train(docs: DataFrame, sample: Sample = Sample(), limited: bool = True) -> Model:
-    """A model from ``docs`` (doc_id, text, lang), of which only labelled rows count; with limits if wanted."""
+def _sample(docs: DataFrame, sample: Sample) -> tuple[list[str], DataFrame]:
+    """The languages, and the sampled rows (lang, even, text)."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     long = F.octet_length("text") > sample.longest
-    turn = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")
-    chosen = written(labelled.select("doc_id", "lang", long.alias("long")).withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= sample.per_language).select("doc_id", "lang", "long", (F.col("turn") % 2 == 0).alias("even")), "sample")
-    languages = sorted(r["lang"] for r in chosen.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    # At most per_language * MOST_LANGUAGES ids.
-    ids = chosen.groupBy("doc_id", "lang", "long").agg(F.max("even").alias("even"))
+    # One row for each language.
+    found = labelled.groupBy("lang").agg(F.count_if(~long).alias("short"), F.count_if(long).alias("long")).collect()
+    most = max(1, min(sample.per_language, sample.total // max(1, len(found))))
+    shares = [(r["lang"], most / max(1, r["short"]), max(0, most - r["short"]) / max(1, r["long"])) for r in found]
+    share = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, short double, long double"))
     begun = F.when(long, F.substring("text", 1, sample.longest)).otherwise(F.col("text"))
-    texts = labelled.select("doc_id", "lang", long.alias("long"), begun.alias("text")).join(F.broadcast(ids), ["doc_id", "lang", "long"]).select(F.concat(F.when(F.col("even"), "1").otherwise("0"), "lang").alias("lang"), "text")
-    counted = texts.mapInArrow(_counted, "lang string, gram bigint, n bigint")
-    folds = counted.groupBy(F.expr("substring(lang, 2)").alias("lang"), "gram").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("lang").startswith("1"), F.col("n")).otherwise(0)).alias("even"))
-    kept = folds.where((F.col("gram") < (3 << 40)) | (F.col("n") > 1)).toArrow()
+    even = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2)) == 0
+    chosen = labelled.select("doc_id", "lang", "text").join(share, "lang").where(below_share(F.when(long, F.col("long")).otherwise(F.col("short")), "doc_id"))
+    # A row that is there twice is learned once.
+    rows = chosen.select("doc_id", "lang", even.alias("even"), begun.alias("text")).groupBy("doc_id", "lang", "even", "text").agg(F.lit(1).alias("one"))
+    return sorted(r["lang"] for r in found), written(rows.select("lang", "even", "text"), "sample")
+
+
+def train(docs: DataFrame, sample: Sample = Sample(), limited: bool = True) -> Model:
+    """A model from ``docs`` (doc_id, text, lang), of which only labelled rows count; with limits if wanted."""
+    languages, texts = _sample(docs, sample)
+    every = texts.mapInArrow(_counted, "lang string, gram bigint, n bigint, even bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("even").alias("even"))
+    every = written(every.withColumn("context", F.expr("shiftleft(shiftright(gram, 40) - 1, 40) | shiftright(gram & 1099511627775, 8)")), "grams")
+    odd = F.col("n") - F.col("even")
+    whole = every.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("even").alias("even_total"), F.count_if(F.col("even") > 0).alias("even_kinds"), F.count_if(odd > 0).alias("odd_kinds"))
+    kept = every.where((F.col("gram") < (3 << 40)) | (F.col("n") > 1)).join(whole, ["lang", "context"]).drop("context").toArrow()
     number = {x: i for i, x in enumerate(languages)}
     lang = np.array([number[x] for x in kept["lang"].to_pylist()], np.int64)
-    gram, n, even = (kept[c].to_numpy().astype(t) for c, t in (("gram", np.int64), ("n", np.float64), ("even", np.float64)))
-    model = Model(languages, lang, gram, n)
-    if limited and len(n):
+    get = {c: kept[c].to_numpy().astype(np.float64) for c in kept.column_names if c not in ("lang", "gram")}
+    grams = kept["gram"].to_numpy().astype(np.int64)
+    model = Model(languages, lang, grams, get["n"], get["total"], get["kinds"])
+    if limited and len(grams):
         halves = []
-        for m in (n - even, even):
-            some = (m > 1) | (m > 0) & (gram < (3 << 40))
-            halves.append((Model(languages, lang[some], gram[some], m[some]), set(lang[some].tolist())))
+        for m, total, kinds in ((get["n"] - get["even"], get["total"] - get["even_total"], get["odd_kinds"]), (get["even"], get["even_total"], get["even_kinds"])):
+            some = (m > 1) | (m > 0) & (grams < (3 << 40))
+            halves.append((Model(languages, lang[some], grams[some], m[some], total[some], kinds[some]), set(lang[some].tolist())))
         bits = texts.mapInArrow(_crossed(halves), "lang string, bits double").groupBy("lang").agg(F.percentile("bits", 1 - OUTSIDE).alias("most"))
         found = {number[r["lang"]]: SLACK * r["most"] for r in bits.collect()}
         for i in range(len(languages)):  # a language of one text has the widest limit of the others
@@ -266,14 +312,15 @@ def _crossed(halves: list[tuple[Model, set[int]]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            names, out = batch.column(batch.schema.get_field_index("lang")).to_pylist(), []
+            names, even = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "even"))
+            out = []
             for fold, (model, known) in enumerate(halves):
                 total, size = code_lengths(model, texts)
                 place = {x: i for i, x in enumerate(model.languages)}
                 for i, name in enumerate(names):
-                    k = place[name[1:]]
-                    if name[0] != str(fold) and k in known and size[i]:
-                        out.append((name[1:], total[i, k] / size[i]))
+                    k = place[name]
+                    if even[i] != bool(fold) and k in known and size[i]:
+                        out.append((name, total[i, k] / size[i]))
             yield pa.record_batch([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())], names=["lang", "bits"])
 
     return run
@@ -284,16 +331,16 @@ def _crossed(halves: list[tuple[Model, set[int]]]):
 
 def code_lengths(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Bits of every row in each language, and the number of bytes coded."""
-    data = CODED[texts.data]
-    start, end, row = word_ranges(data, texts.offsets)
-    total = np.zeros((len(texts), len(model.languages)))
-    if len(start):
-        _, one, which = np.unique(range_hash(data, start, end), return_index=True, return_inverse=True)
-        coded, first = spaced(data, start[one], end[one])
-        bits = np.add.reduceat(model.bits(coded, first).astype(np.float64), first[:-1], axis=0)
-        full = np.flatnonzero(np.diff(row))
-        total[full] = np.add.reduceat(bits[which], row[:-1][full], axis=0)
-    return total, np.diff(np.concatenate([[0], np.cumsum(end - start + 1)])[row])
+    coded, first = plain(texts)
+    place = places(first)
+    total = np.zeros((len(texts), max(1, len(model.languages))))
+    for a in range(0, len(coded), SEGMENT):
+        b, s = min(a + SEGMENT, len(coded)), max(0, a - ORDER)
+        sums = np.zeros((b - a + 1, total.shape[1]))
+        np.cumsum(model.bits(coded[s:b], np.where(np.arange(s, b) < a, 0, place[s:b]))[a - s :], axis=0, out=sums[1:])
+        edge = np.clip(first, a, b) - a
+        total += sums[edge[1:]] - sums[edge[:-1]]
+    return total, np.maximum(np.diff(first) - 1, 0)
 
 
 def _judged(model: Model, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

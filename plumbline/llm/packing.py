@@ -13,7 +13,9 @@ its rank in its task plus a running sum over tasks, so that no key gathers the
 pieces of a common length.
 
 Null or empty text is a document of the end token alone. A repeated row is
-packed again. An empty table gives an empty result.
+packed again. Pieces of equal length are alike to the plan: which of them goes
+where follows the order of tasks and rows, so it may differ between runs, but
+never how many sequences there are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -91,6 +93,12 @@ def _pieces(path: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (ids_of, forget), last = document_encoder(path), np.array([end], "<u4").tobytes()
         task, ranks = TaskContext.get().partitionId(), [0] * (capacity + 1)
+        try:
+            yield from numbered(batches, ids_of, last, task, ranks)
+        finally:
+            forget()
+
+    def numbered(batches, ids_of, last: bytes, task: int, ranks: list[int]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             rows: list[tuple] = []
             ids = batch.column(0).to_pylist()
@@ -101,7 +109,6 @@ def _pieces(path: str, end: int, capacity: int):
                     ranks[length] += 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
-        forget()
 
     return run
 
@@ -195,5 +202,6 @@ def packed(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2) -> Da
     bases = written(counts.select("task", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # under capacity rows
     runs, _ = plan(histogram, capacity)
-    ranked = pieces.join(bases.drop("n"), ["task", "length"], "left").select("doc_id", "piece", "start", "length", "ids_crc32", "task", "rank", F.coalesce("base", F.lit(0)).cast("bigint").alias("base"))
+    # bases grows with the number of tasks, so it is never broadcast; pieces are narrow, and none of its keys is large.
+    ranked = pieces.join(bases.drop("n").hint("merge"), ["task", "length"], "left").select("doc_id", "piece", "start", "length", "ids_crc32", "task", "rank", F.coalesce("base", F.lit(0)).cast("bigint").alias("base"))
     return ranked.mapInArrow(_placed(runs, capacity), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

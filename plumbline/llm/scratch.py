@@ -49,9 +49,18 @@ def few(rows: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id, ``more`` columns and text of documents, to be read in Python in bounded batches."""
+    """doc_id, ``more`` columns and text of documents, to be read in Python in bounded batches.
+
+    Spark bounds a batch by its bytes as well (``maxBytesPerBatch``, 64 MB), so that long
+    texts come in batches of few rows; only a single text can be longer than that.
+    """
     spark = docs.sparkSession
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, DEFAULT_ROWS) == DEFAULT_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *more, "text")
+
+
+def below_share(share: Column, *columns: str) -> Column:
+    """Whether the columns' hash, read as a number from 0 to 1, lies below ``share``."""
+    return (F.xxhash64(*columns, F.lit(77)).cast("double") / F.lit(2.0**64) + 0.5) < share

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.packing import document_encoder
-from plumbline.llm.scratch import texts_of
+from plumbline.llm.scratch import texts_of, written
 from plumbline.llm.textbatch import slices
 
 BLOCK = 1024
@@ -27,16 +27,19 @@ BLOCK = 1024
 def _lengths(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, forget = document_encoder(path)
-        for _, texts in slices(batches):
-            yield pa.record_batch([pa.array([len(ids_of(texts.raw(i).decode("utf-8", "replace"))) // 4 for i in range(len(texts))], pa.int64())], names=["length"])
-        forget()
+        try:
+            for _, texts in slices(batches):
+                yield pa.record_batch([pa.array([len(ids_of(texts.raw(i).decode("utf-8", "replace"))) // 4 for i in range(len(texts))], pa.int64())], names=["length"])
+        finally:
+            forget()
 
     return run
 
 
 def histogram(docs: DataFrame, path: str) -> DataFrame:
-    """(length, n_docs) of ``docs`` (text)."""
-    return docs.select(F.lit(0).alias("doc_id"), "text").transform(texts_of).mapInArrow(_lengths(path), "length bigint").groupBy("length").agg(F.count("*").alias("n_docs"))
+    """(length, n_docs) of ``docs`` (text). Written down, since every answer reads it more than once."""
+    lengths = docs.select(F.lit(0).alias("doc_id"), "text").transform(texts_of).mapInArrow(_lengths(path), "length bigint")
+    return written(lengths.groupBy("length").agg(F.count("*").alias("n_docs")), "histogram")
 
 
 def at_limits(counts: DataFrame) -> DataFrame:

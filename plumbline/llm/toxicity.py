@@ -6,9 +6,11 @@ lexicon words near them; capitals; punctuation; obfuscation (lexicon words that
 show only after look-alike characters are put back, and words that mix letters
 with digits or symbols).
 
-Training reads a bounded sample of labelled rows, at most ``toxic`` and
-``clean`` documents by the least hash of doc_id; rows weigh as many documents of
-their label as they stand for. Four fifths of it fit the trees, the rest the
+Training reads a bounded sample of labelled documents: about ``toxic`` and
+``clean`` ones (all, if there are fewer), those whose hash of doc_id lies below
+the share that is wanted, so that no task ever ranks a label's rows. Rows weigh
+as many documents of their label as they stand for. Four fifths of the sample
+make the lexicon and fit the trees, the rest, which neither has seen, the
 calibration. Only features (a few kilobytes a document at most) and the lexicon
 (at most ``entries``) reach the driver.
 
@@ -25,11 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.langid import held_out
-from plumbline.llm.scratch import texts_of, written
+from plumbline.llm.scratch import below_share, texts_of, written
 from plumbline.llm.textbatch import Texts, U, Words, flat, mix, range_hash, salted, slices, words
 from plumbline.llm.trees import Isotonic, Trees, calibrate, fit
 
@@ -175,7 +177,7 @@ def _described(lexicon: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             rows = features(texts, lexicon)
-            yield pa.record_batch([*batch.columns[:2], pa.array(list(rows), pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
+            yield pa.record_batch([*batch.columns[:3], pa.array(list(rows), pa.list_(pa.float64()))], names=["doc_id", "toxic", "fits", "x"])
 
     return run
 
@@ -183,29 +185,29 @@ def _described(lexicon: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model:
     """A model from labelled rows: ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    turn = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    most = F.when(F.col("toxic") == 1, sample.toxic).otherwise(sample.clean)
-    chosen = known.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= max(sample.toxic, sample.clean)).where(F.col("turn") <= most).select("doc_id", "toxic")
-    chosen = written(chosen, "sample")
-    # At most toxic + clean ids.
-    rows = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    rows = written(rows, "labelled")
+    known = written(known, "known")
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, sample.toxic / max(1, totals.get(1, 0))).otherwise(sample.clean / max(1, totals.get(0, 0)))
+    fits = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(5)) != 0
+    chosen = written(known.where(below_share(share, "doc_id")).select("doc_id", "toxic", fits.alias("fits")), "sample")
+    # About toxic + clean ids. A document that is there twice is learned once.
+    rows = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "fits", "text")
+    rows = written(rows.groupBy("doc_id", "toxic", "fits", "text").agg(F.lit(1).alias("one")).drop("one"), "labelled")
+    counted = rows.groupBy("toxic").agg(F.count("*").alias("n"), F.count_if("fits").alias("n_fits")).collect()
+    sizes, fitted = {r["toxic"]: r["n"] for r in counted}, {r["toxic"]: r["n_fits"] for r in counted}
     if not sizes:
         return Model(np.zeros(0, U), fit(np.zeros((0, N_FEATURES)), np.zeros(0), np.zeros(0)), Isotonic(np.zeros(0), np.zeros(0)), True)
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    counted = rows.mapInArrow(_seen, "entry bigint, toxic int, n bigint").groupBy("entry").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
+    n1, n0 = fitted.get(1, 0), fitted.get(0, 0)
+    seen = rows.where("fits").mapInArrow(_seen, "entry bigint, toxic int, n bigint").groupBy("entry").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
-    telling = counted.where((F.col("t") >= max(3, n1 // 200)) & (F.col("entry") != 0)).select("entry", "t", odds.alias("odds")).where("odds >= 2.5")
+    telling = seen.where((F.col("t") >= max(3, n1 // 200)) & (F.col("entry") != 0)).select("entry", "t", odds.alias("odds")).where("odds >= 2.5")
     best = telling.orderBy(F.desc(F.col("odds") * F.sqrt("t")), "entry").limit(sample.entries).toArrow()
     lexicon = np.sort(best["entry"].to_numpy().astype(np.int64).view(U))
-    found = rows.mapInArrow(_described(lexicon), "doc_id bigint, toxic int, x array<double>").orderBy("doc_id").toArrow()
+    found = rows.select("doc_id", "toxic", "fits", "text").mapInArrow(_described(lexicon), "doc_id bigint, toxic int, fits boolean, x array<double>").orderBy("doc_id", "x").toArrow()
     x = np.array(found["x"].to_pylist(), np.float64).reshape(-1, N_FEATURES)
     y = found["toxic"].to_numpy().astype(np.float64)
-    weight = np.where(y == 1, totals.get(1, 0) / max(n1, 1), totals.get(0, 0) / max(n0, 1))
-    with np.errstate(over="ignore"):
-        rest = mix(found["doc_id"].to_numpy().astype(np.int64).view(U) ^ salted(31)) % U(5) == 0
+    weight = np.where(y == 1, totals.get(1, 0) / max(sizes.get(1, 0), 1), totals.get(0, 0) / max(sizes.get(0, 0), 1))
+    rest = ~found["fits"].to_numpy().astype(bool)
     trees = fit(x[~rest], y[~rest], weight[~rest], sample.rounds)
     return Model(lexicon, trees, calibrate(trees.raw(x[rest]), y[rest], weight[rest]))
 

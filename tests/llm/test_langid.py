@@ -20,55 +20,91 @@ def documents(seed=1, n=240):
     return rows + [(1001, None, "aa"), (1002, "12 34 !", "aa"), (1003, "", None), (1004, "Ω", None), (None, text("bb", 30, rnd), None), (1005, text("cc", 20_000, rnd), "cc")]
 
 
-def brute_bits(text, counts, order):
-    """PPM with method C over dictionaries, word by word."""
-    total = 0.0
-    data = bytes(langid.CODED[np.frombuffer(text.encode(), np.uint8)])
-    for word in data.split():
-        s = b" " + word + b" "
+def plain(text):
+    words = bytes(langid.CODED[np.frombuffer(text.encode(), np.uint8)]).split()
+    return b" " + b" ".join(words) + b" " if words else b""
+
+
+def learn(texts):
+    """What followed each context, over whole texts."""
+    counts = {}
+    for s in map(plain, texts):
         for i in range(1, len(s)):
-            for n in range(min(order, i), -1, -1):
-                followed = counts.get(s[i - n : i], {})
-                if not followed:
-                    continue
-                all_, kinds = sum(followed.values()), len(followed)
-                if s[i] in followed:
-                    total -= math.log2(followed[s[i]] / (all_ + kinds))
-                    break
-                total -= math.log2(kinds / (all_ + kinds))
-            else:
-                total += 8
+            for n in range(min(langid.ORDER, i) + 1):
+                at = counts.setdefault(s[i - n : i], {})
+                at[s[i]] = at.get(s[i], 0) + 1
+    return counts
+
+
+def brute_bits(text, counts, least):
+    """PPM with method C over dictionaries; symbols seen under ``least`` times in contexts of two
+    and more bytes are left out, and their share is the escape's."""
+    total, s = 0.0, plain(text)
+    for i in range(1, len(s)):
+        for n in range(min(langid.ORDER, i), -1, -1):
+            followed = counts.get(s[i - n : i], {})
+            known = {x: c for x, c in followed.items() if n < 2 or c >= least}
+            if not known:
+                continue
+            every = sum(followed.values()) + len(followed)
+            if s[i] in known:
+                total -= math.log2(known[s[i]] / every)
+                break
+            total -= math.log2((every - sum(known.values())) / every)
+        else:
+            total += 8
     return total
 
 
-def test_code_lengths_against_brute_force():
+def samples(rnd):
+    return ["Zzz kalo q", "ein kalo eauz 7 é", "", "12", " x", *(text(lang, rnd.randrange(1, 12), rnd) for lang in sorted(SOUNDS) for _ in range(3))]
+
+
+def test_code_lengths_against_brute_force(monkeypatch):
+    monkeypatch.setattr(langid, "SEGMENT", 7)
     rnd = random.Random(3)
     learned = {lang: [text(lang, 40, rnd) for _ in range(4)] for lang in SOUNDS}
     seen = {}
     for lang, texts in learned.items():
-        batch = pa.record_batch([pa.array([lang] * len(texts)), pa.array(texts)], names=["lang", "text"])
+        batch = pa.record_batch([pa.array([lang] * len(texts)), pa.array([i % 2 == 0 for i in range(len(texts))]), pa.array(texts)], names=["lang", "even", "text"])
         for got in langid._counted(iter([batch])):
             for g, n in zip(got["gram"].to_pylist(), got["n"].to_pylist()):
                 seen[lang, g] = seen.get((lang, g), 0) + n
-    languages = sorted(SOUNDS)
-    keys = [k for k in seen]
+    languages, keys = sorted(SOUNDS), list(seen)
     model = langid.Model(languages, np.array([languages.index(a) for a, _ in keys]), np.array([g for _, g in keys]), np.array([float(seen[k]) for k in keys]))
-    counts = {lang: {} for lang in languages}
-    for lang, texts in learned.items():
-        for t in texts:
-            for word in bytes(langid.CODED[np.frombuffer(t.encode(), np.uint8)]).split():
-                s = b" " + word + b" "
-                for i in range(1, len(s)):
-                    for n in range(min(langid.ORDER, i) + 1):
-                        at = counts[lang].setdefault(s[i - n : i], {})
-                        at[s[i]] = at.get(s[i], 0) + 1
-    for t in (text("aa", 9, rnd), text("bb", 5, rnd), "Zzz kalo q", "ein kalo eauz 7 é"):
-        data = langid.CODED[np.frombuffer(t.encode(), np.uint8)]
-        start, end, _ = langid.word_ranges(data, np.array([0, len(data)]))
-        coded, first = langid.spaced(data, start, end)
-        got = model.bits(coded, first).sum(axis=0)
-        want = [brute_bits(t, counts[lang], langid.ORDER) for lang in languages]
-        assert np.allclose(got, want, rtol=1e-4)
+    counts = {lang: learn(texts) for lang, texts in learned.items()}
+    rows = samples(rnd)
+    got, size = langid.code_lengths(model, flat(pa.array(rows)))
+    assert np.allclose(got, [[brute_bits(t, counts[lang], 1) for lang in languages] for t in rows], rtol=1e-4)
+    assert size.tolist() == [max(0, len(plain(t)) - 1) for t in rows]
+
+
+def test_trained_model_against_brute_force(spark):
+    rnd = random.Random(5)
+    learned = [(i, text(lang := rnd.choice(sorted(SOUNDS)), rnd.randrange(5, 60), rnd), lang) for i in range(60)]
+    df = spark.createDataFrame(learned + learned[:5], "doc_id bigint, text string, lang string").repartition(3)
+    model = langid.train(df, limited=False)
+    counts = {lang: learn([t for _, t, x in learned if x == lang]) for lang in SOUNDS}
+    rows = samples(rnd)
+    got, _ = langid.code_lengths(model, flat(pa.array(rows)))
+    assert np.allclose(got, [[brute_bits(t, counts[lang], 2) for lang in model.languages] for t in rows], rtol=1e-4)
+    best = [int(np.argmin(x)) for x in got]
+    assert langid.scores(model, flat(pa.array(rows)))[0].tolist() == [k if any(c.isalpha() for c in t) else -1 for k, t in zip(best, rows)]
+
+
+def test_equal_code_lengths_take_the_first_name(spark):
+    rows = [(1, "aba", "yy"), (2, "aba", "xx"), (3, "aba", None), (3, "aba", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = [r for r in langid.predicted(df, langid.train(df)).collect() if r.doc_id == 3]
+    assert [r.lang_pred for r in got] == ["xx", "xx"] and all(abs(r.score - 0.5) < 1e-9 for r in got)
+
+
+def test_samples_are_bounded(spark):
+    rows = [(i, f"text {i}", ("aa", "bb")[i % 3 == 0]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    languages, found = langid._sample(df, langid.Sample(per_language=200))
+    assert languages == ["aa", "bb"] and all(150 < r["count"] < 250 for r in found.groupBy("lang").count().collect())
+    assert langid._sample(df, langid.Sample(per_language=200, total=100))[1].count() < 150
 
 
 def test_held_out_accuracy_and_edges(spark):
