@@ -5,20 +5,25 @@ texts and templates into shingles of five words. Templates are grouped by size:
 class c holds those of at most ``c`` shingles (a power of two). For each class a
 text is read in windows of ``2 c`` shingles that begin every ``c``, so any copy
 of a template lies whole in one window. A window retrieves a template if one of
-``BANDS`` MinHash values agrees. The least similarity of a window and a
+``BANDS`` MinHash values agrees, which an index of the class tells (a map from a
+value and its band to templates), so that each window and template come together
+once, however many bands agree. The least similarity of a window and a
 template of which it holds 80 percent is about 0.19, so a copy is missed with a
 probability under (1 - 0.19) ** 64 = 1.4e-6. A retrieved template is then
 verified exactly: the share of its distinct shingles that the window holds must
 be at least 0.8.
 
-Only windows that hold an anchor are hashed: for each template a few words of
-which any verified window must hold one, since the shingles without any of them
-are less than 80 percent. So this leaves out no match.
+Only windows that could be verified are hashed: they must hold an anchor (for each
+template a few words without which under 80 percent of its shingles can be there)
+and enough of the class's words at all, since each word that is missing takes a
+shingle with it. So this leaves out no match.
 
 One row for each document and license: doc_id, license, containment (the
-largest), n_windows. Null and empty texts, and texts of under five words, match
-nothing; rows that repeat a doc_id are one document; an empty table gives an
-empty result.
+largest), n_windows. A text may hold several licenses; of equal containments none
+is preferred. Null and empty texts, and texts of under five words, match nothing;
+rows that repeat a doc_id (null is one, too) are one document; other columns may
+have any name; an empty table gives an empty result. A long text is read window
+by window: its words are held once for each size class.
 """
 
 from __future__ import annotations
@@ -29,22 +34,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, LEAST, BANDS = 5, 0.8, 64
-
-#: Notices to look for: (license, text).
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
+from plumbline.llm.license_texts import TEMPLATES
 
+SHINGLE, LEAST, BANDS = 5, 0.8, 64
 
 @dataclass(frozen=True)
 class Template:
@@ -77,6 +69,27 @@ def anchors(template: Template) -> list[str]:
     return out
 
 
+def least_words(template: Template) -> int:
+    """How many of a template's distinct words any window must hold in which it is found.
+
+    A missing word takes the shingle that begins with it (the last four words begin none,
+    and some shingles may repeat).
+    """
+    n = len(template.words) - SHINGLE + 1
+    distinct = len({template.words[i : i + SHINGLE] for i in range(n)})
+    return max(1, len(set(template.words)) - int((1 - LEAST) * distinct + 1e-9) - (SHINGLE - 1) - (n - distinct))
+
+
+def one_of(words: list[str]) -> str:
+    """A regular expression for any of the words, which reads each common beginning once."""
+    rest: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            rest.setdefault(w[0], []).append(w[1:])
+    tree = "|".join(re.escape(c) + one_of(tails) for c, tails in sorted(rest.items()))
+    return "" if "" in words else f"(?:{tree})"
+
+
 def word_list(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -87,10 +100,10 @@ def shingle_hashes(words: Column, n: Column) -> Column:
 
 
 def band_values(grams: Column) -> Column:
-    """The least value of each of BANDS hash functions over the shingles."""
+    """The least value of each of BANDS hash functions over the shingles, hashed with its band."""
 
     def least(band: int) -> Column:
-        return F.array_min(F.transform(grams, lambda g: F.xxhash64(g, F.lit(band))))
+        return F.xxhash64(F.array_min(F.transform(grams, lambda g: F.xxhash64(g, F.lit(band)))), F.lit(band))
 
     return F.array(*map(least, range(BANDS)))
 
@@ -99,23 +112,29 @@ def scanned(docs: DataFrame, texts: tuple[tuple[str, str], ...] = TEMPLATES) ->
     """Licenses found in ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     templates = templates_of(texts)
+    of_class = {c: [t for t in templates if t.size_class == c] for c in sorted({t.size_class for t in templates})}
     words = sorted({w for t in templates for w in anchors(t)})
+    # The templates are a parameter: tables of a few rows for each, whatever the corpus.
     table = spark.createDataFrame([(t.number, t.license, list(t.words), t.size_class) for t in templates], "number int, license string, words array<string>, size_class int")
-    table = table.withColumn("grams", F.array_distinct(shingle_hashes(F.col("words"), F.size("words") - (SHINGLE - 1))))
-    keys = table.select("number", "license", "size_class", F.col("grams").alias("template"), F.posexplode(band_values(F.col("grams"))).alias("band", "value"))
+    table = table.withColumn("template", F.array_distinct(shingle_hashes(F.col("words"), F.size("words") - (SHINGLE - 1)))).drop("words")
+    values = table.select("size_class", "number", F.explode(band_values(F.col("template"))).alias("value")).groupBy("size_class", "value").agg(F.collect_set("number").alias("numbers"))
+    index = values.groupBy("size_class").agg(F.map_from_entries(F.collect_list(F.struct("value", "numbers"))).alias("index"))
 
-    some = docs.where(F.col("text").rlike("(?iu)" + "|".join(map(re.escape, words)))).select(F.col("doc_id").cast("bigint").alias("doc_id"), word_list(F.col("text")).alias("words"))
+    # Words begin after anything but a letter or digit; what passes here in vain is found out below.
+    some = docs.where(F.lower("text").rlike("(?<![a-z0-9])" + one_of(words))).select(F.col("doc_id").cast("bigint").alias("doc_id"), word_list(F.col("text")).alias("words"))
     enough = some.where(F.size("words") >= SHINGLE).withColumn("n", F.size("words") - (SHINGLE - 1))
-    anchor = F.array(*map(F.lit, words))
-    classes = F.explode(F.array(*map(F.lit, sorted({t.size_class for t in templates})))).alias("size_class")
-    starts = enough.select("doc_id", "words", "n", classes).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.col("size_class"))).alias("start"))
-    held = starts.select("doc_id", "size_class", "start", F.slice("words", F.col("start") + 1, 2 * F.col("size_class") + (SHINGLE - 1)).alias("held"))
-    windows = held.where(F.arrays_overlap("held", anchor) & (F.size("held") >= SHINGLE))
+
+    def listed(found: set[str]) -> Column:
+        return F.array(*map(F.lit, sorted(found)))
+
+    classes = F.array(*(F.struct(F.lit(c).alias("size_class"), listed({w for t in some_ for w in anchors(t)}).alias("anchors"), listed({w for t in some_ for w in t.words}).alias("known"), F.lit(min(map(least_words, some_))).alias("least")) for c, some_ in of_class.items()))
+    starts = enough.select("doc_id", "words", "n", F.inline(classes)).where(F.arrays_overlap("words", "anchors")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.col("size_class"))).alias("start"))
+    held = starts.select("doc_id", "size_class", "anchors", "known", "least", "start", F.slice("words", F.col("start") + 1, 2 * F.col("size_class") + (SHINGLE - 1)).alias("held"))
+    windows = held.where((F.size("held") >= SHINGLE) & F.arrays_overlap("held", "anchors")).where(F.size(F.array_intersect("held", "known")) >= F.col("least"))
     hashed = windows.select("doc_id", "size_class", "start", shingle_hashes(F.col("held"), F.size("held") - (SHINGLE - 1)).alias("grams"))
-    banded = hashed.select("doc_id", "size_class", "start", "grams", F.posexplode(band_values(F.col("grams"))).alias("band", "value"))
-    # The templates are a parameter: a few rows for each, whatever the corpus.
-    found = banded.join(F.broadcast(keys), ["size_class", "band", "value"])
+    banded = hashed.withColumn("values", band_values(F.col("grams"))).join(F.broadcast(index), "size_class")
+    retrieved = F.array_distinct(F.flatten(F.transform(F.array_intersect("values", F.map_keys("index")), lambda v: F.col("index")[v])))
+    found = banded.select("doc_id", "start", "grams", F.explode(retrieved).alias("number")).join(F.broadcast(table.select("number", "license", "template")), "number")
     share = F.size(F.array_intersect("template", "grams")) / F.size("template")
     verified = found.select("doc_id", "license", "number", "start", share.alias("containment")).where(F.col("containment") >= LEAST)
-    # The bands of a window are in one partition: the first aggregation needs little of the network.
     return verified.groupBy("doc_id", "license", "number", "start").agg(F.max("containment").alias("containment")).groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.count("*").alias("n_windows"))

@@ -50,3 +50,32 @@ def test_anchors_cover_every_match():
         chosen = set(licenses.anchors(t))
         all_grams = grams(t.words)
         assert sum(chosen.isdisjoint(g) for g in all_grams) < 0.8 * len(all_grams)
+
+
+def test_no_verified_window_lacks_words():
+    rnd = random.Random(2)
+    for t in licenses.templates_of(licenses.TEMPLATES):
+        want = grams(t.words)
+        for _ in range(60):
+            words = list(t.words)
+            for _ in range(rnd.randrange(len(words))):
+                words[rnd.randrange(len(words))] = "other"
+                if len(want & grams(words)) < 0.8 * len(want):
+                    break
+                assert len(set(words) & set(t.words)) >= licenses.least_words(t)
+
+
+def test_expression_finds_just_the_words():
+    words = ["license", "licensed", "general", "a.b", "x"]
+    found = re.compile(licenses.one_of(words))
+    for text in ("my license", "licens", "GENERAL", "genera", "a.b", "axb", "x", ""):
+        assert bool(found.search(text)) == any(w in text for w in words)
+
+
+def test_whole_texts_with_a_few_changes(spark):
+    rows = [(i, f"Copyright 2020 someone {text} end of file") for i, (_, text) in enumerate(licenses.TEMPLATES)]
+    got = {}
+    for r in licenses.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.containment
+    for i, (name, _) in enumerate(licenses.TEMPLATES):
+        assert got[i][name] == 1.0
