@@ -4,7 +4,9 @@ All glob rules are packed into one row of bits over 64-bit words, one bit for
 each literal character. Shift-And moves all of them on by one character of the
 URL at once: shift, mask by the character, and keep those bits that stand
 before a wildcard. The automaton reads many URLs side by side, so a step is a
-few vector operations for a whole batch.
+few vector operations for a whole block of them; a URL of over LONG_URL bytes is
+read by itself, its state one integer of as many bits, which costs a few
+microseconds a byte however long it is.
 
 The canonical URL is ``"." + host + path``: host is what stands after the first
 ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; path is what
@@ -13,16 +15,20 @@ without ``://``. In a glob ``*`` stands for any bytes but ``/`` and ``**`` for
 any bytes. A rule ``host/path`` fits that host and its subdomains if the path
 starts with the rule's: it is the glob ``*.host/path**``. Among fitting rules
 the longest wins (of equal length the one listed first); if none fits, a URL is
-blocked if a block pattern fits it, else allowed.
+blocked if a block pattern fits it, else allowed. The block patterns of the query
+are made from lists of words by ``block_patterns``: hosts that carry a word of
+gambling, adult, spam or malware names as a label or as a part of one between
+hyphens, and paths that lead to log-ins, carts, trackers or executables.
 
-Rows are judged one by one; repeated rows get equal rows, an empty table gives
-an empty result.
+Rows are judged one by one; repeated rows get equal rows, a null page_id stays
+null, other columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +37,28 @@ from pyspark.sql import functions as F
 
 #: Rules of the query: (host and path, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: What is blocked where no rule fits.
-BLOCK_PATTERNS = ("*.spam-*", "*.spam-*/**", "*.casino-*/**", "**/wp-login.php", "**/xmlrpc.php")
+#: Words in host names that are blocked, parts of paths that are, and names of files that are.
+HOST_WORDS = (
+    "adult bet betting bingo bitcoin-doubler blackjack buycheap cams casino cheapmeds cialis clickbait counterfeit crack darknet dating-hot escort "
+    "fakenews forex-signal freegift freemoney gamble gambling getrich hacked hentai jackpot keygen loan-shark lottery malware milf nude onlyfans "
+    "payday penny-stock phishing pills poker porn pornhub replica-watch rolex-replica roulette scam seo-links sex sexcam slots spam spyware "
+    "sportsbet steroids sweepstakes torrent-free trojan viagra virus warez webcam-girls xxx"
+).split()
+PATH_PARTS = "ads adserver affiliate admin banner cart cgi-bin checkout clickid doubleclick login logout password-reset popunder popup signin signup sponsored tracking utm wp-admin wp-login xmlrpc".split()
+FILES = "exe msi bat scr apk jar cab dmg deb rpm vbs ps1 torrent wp-login.php xmlrpc.php".split()
+
+
+def block_patterns(host_words: list[str] = HOST_WORDS, path_parts: list[str] = PATH_PARTS, files: list[str] = FILES) -> tuple[str, ...]:
+    """Globs over canonical URLs, ``"." + host + path``."""
+    hosts = [g for w in host_words for g in (f"*.{w}.**", f"*.{w}-**", f"*-{w}.**", f"*-{w}-**")]
+    paths = [g for w in path_parts for g in (f"**/{w}/**", f"**/{w}")]
+    return (*hosts, *paths, *(f"**/{f}" if "." in f else f"**.{f}" for f in files))
 
-ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+#: What is blocked where no rule fits.
+BLOCK_PATTERNS = block_patterns()
+#: URLs longer than this are read one by one; bytes of state that are moved on at a time.
+LONG_URL, STATE_BYTES = 4096, 1 << 20
 
 
 class Automaton:
@@ -87,6 +111,33 @@ class Automaton:
 
     def fits(self, urls: list[bytes]) -> np.ndarray:
         """A row of booleans, one for each glob, for each URL."""
+        out = np.empty((len(urls), len(self.final)), bool)
+        short = [i for i, u in enumerate(urls) if len(u) <= LONG_URL]
+        step = max(1, STATE_BYTES // (8 * len(self.first)))
+        short.sort(key=lambda i: len(urls[i]))  # of like lengths together
+        for at in range(0, len(short), step):
+            some = short[at : at + step]
+            out[some] = self._side_by_side([urls[i] for i in some])
+        for i, u in enumerate(urls):
+            if len(u) > LONG_URL:
+                out[i] = self._alone(u)
+        return out
+
+    def _alone(self, url: bytes) -> np.ndarray:
+        """The same steps with all bits in one integer."""
+        whole = {k: int.from_bytes(getattr(self, k).astype("<u8").tobytes(), "little") for k in ("first", "at_start", "any_start", "name_start", "any_stay", "name_stay")}
+        masks = {x: int.from_bytes(self.masks[x].astype("<u8").tobytes(), "little") for x in set(url)}
+        keep, any_start, both = ~whole["first"], whole["any_start"], whole["any_stay"] | whole["name_stay"]
+        state, start, in_name = 0, whole["at_start"], True
+        for letter in url:
+            moved = ((state << 1) & keep | start) & masks[letter]
+            slash = letter == 0x2F
+            state = moved | state & (whole["any_stay"] if slash else both)
+            in_name = in_name and not slash
+            start = any_start | (whole["name_start"] if in_name else 0)
+        return np.array([state >> (64 * word + int(bit).bit_length() - 1) & 1 for word, bit in self.final], bool)
+
+    def _side_by_side(self, urls: list[bytes]) -> np.ndarray:
         order = sorted(range(len(urls)), key=lambda i: -len(urls[i]))
         sizes = np.array([len(urls[i]) for i in order], np.int64)
         start = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])[:-1]
@@ -116,6 +167,11 @@ class Automaton:
         return out
 
 
+@lru_cache(4)
+def automaton_of(globs: tuple[str, ...]) -> Automaton:
+    return Automaton(globs)
+
+
 @dataclass(frozen=True)
 class UrlRules:
     rules: tuple[tuple[str, str], ...] = RULES
@@ -134,7 +190,7 @@ def parts(url: str | None) -> tuple[str, str]:
 
 def _judge(given: UrlRules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton((*(f"*.{rule}**" for rule, _ in given.rules), *given.block))
+        automaton = automaton_of((*(f"*.{rule}**" for rule, _ in given.rules), *given.block))
         n = len(given.rules)
         by_length = sorted(range(n), key=lambda r: -len(given.rules[r][0]))
         for batch in batches:
@@ -157,7 +213,11 @@ def judged(pages: DataFrame, given: UrlRules = UrlRules()) -> DataFrame:
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url").mapInArrow(_judge(given), "page_id bigint, host string, path string, rule string, verdict string")
 
 
-ORACLE = r"""
+def _any(words: list[str]) -> str:
+    return "|".join(w.replace(".", "[.]") for w in words)
+
+
+ORACLE = rf"""
 WITH p AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 s AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM p),
@@ -173,8 +233,8 @@ r AS (
          WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule FROM h)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-       WHEN contains('.' || host, '.spam-') OR (contains('.' || host, '.casino-') AND path <> '')
-         OR path LIKE '%/wp-login.php' OR path LIKE '%/xmlrpc.php' THEN 'block'
+       WHEN regexp_matches('.' || host || path, '^[^/]*[.-]({_any(HOST_WORDS)})[.-]', 's') OR regexp_matches('.' || host || path, '/({_any(PATH_PARTS)})(/|$)', 's')
+         OR regexp_matches('.' || host || path, '({"|".join(("/" if "." in f else "[.]") + f.replace(".", "[.]") for f in FILES)})$', 's') THEN 'block'
        ELSE 'allow' END AS verdict
 FROM r
 """
