@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -60,3 +62,112 @@ def test_calibration_is_isotonic_regression():
     y = np.array([0.0, 1, 0, 1, 1, 0])
     got = trees.calibrate(raw, y, np.ones(6))
     assert np.allclose(got.value, [0, 0.5, 2 / 3])
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+ASCII_PUNCT = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum())
+
+
+def plain(word, look_alike=False):
+    """A word in lower case (A-Z only) without punctuation; look-alike characters as letters."""
+    out = ""
+    for c in word:
+        if look_alike and c in "013457@$":
+            out += dict(zip("013457@$", "oieastas"))[c]
+        elif c not in ASCII_PUNCT:
+            out += c.lower() if "A" <= c <= "Z" else c
+    return out
+
+
+def brute_features(text, known):
+    """The features of one text by its words; ``known`` says whether a lexicon key (word, kind) is there."""
+    text = text or ""
+    own = WORD.findall(text)
+    words = [w for w in map(plain, own) if w]
+    odd = [w for w in (plain(w, True) for w in own) if w]
+    # Punctuation may leave nothing of a word, but never joins two.
+    hit = [(w, "whole") in known for w in words]
+    begun = [len(w.encode()) > 4 and (w.encode()[:4], "start") in known for w in words]
+    you = [w in toxicity.SECOND_PERSON for w in words]
+    near = [any(you[max(0, i - 5) : i + 6]) for i in range(len(words))]
+    raw = text.encode()
+    alpha = [c for c in raw if chr(c).isascii() and chr(c).isalpha() or c >= 0x80]
+    upper = [c for c in raw if 0x41 <= c <= 0x5A]
+    n, size = max(1, len(words)), max(1, len(raw))
+    hits, starts = sum(hit), sum(begun)
+    hidden = max(0, sum((w, "whole") in known for w in odd) - hits)
+
+    def is_letter(c):
+        return c >= 0x80 or chr(c).isalpha()
+
+    shouted = sum(1 for w in own if (k := sum(map(is_letter, w.encode()))) > 1 and k == sum(0x41 <= c <= 0x5A for c in w.encode()))
+    mixed = sum(1 for w in own if any(map(is_letter, w.encode())) and any(chr(c).isdigit() or c in b"#*$%&@^~|<>_+=" for c in w.encode() if c < 0x80))
+    return [
+        math.log1p(len(words)), hits / n, math.log1p(hits), starts / n, math.log1p(starts), hidden / n, math.log1p(hidden), sum(you) / n,
+        sum(a and (b or c) for a, b, c in zip(near, hit, begun)) / n, len(upper) / max(1, len(alpha)), shouted / n,
+        sum(chr(c) in ASCII_PUNCT for c in raw if c < 0x80) / size, raw.count(b"!") / size, sum(c in b"#*$%&@^~|<>_+=" for c in raw) / size, sum(0x30 <= c <= 0x39 for c in raw) / size,
+        mixed / n, len(alpha) / n,
+    ]
+
+
+def brute_score(model, x):
+    """Trees walked node by node, then the rising line between neighbouring points."""
+    raw = model.trees.start
+    for feature, threshold, leaf in zip(model.trees.feature, model.trees.threshold, model.trees.leaf):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + 1 + int(x[feature[node]] > threshold[node])
+        raw += leaf[node - len(feature)]
+    at, value = model.calibration.at.tolist(), model.calibration.value.tolist()
+    if raw <= at[0]:
+        return value[0]
+    for a, b, u, v in zip(at, at[1:], value, value[1:]):
+        if raw <= b:
+            return u + (v - u) * (raw - a) / (b - a)
+    return value[-1]
+
+
+def test_scores_against_brute_force(spark):
+    rows = documents(300, 7)
+    odd = ["", None, "!!! ... ???", "YOU N4STY, b@dword you vileness", "é É ÀB 12 a1 _x_", "nasty\nyou\tbadword " * 30, "you " + "word " * 5 + "nasty " + "word " * 6 + "vile"]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows] + [(9000 + i, t) for i, t in enumerate(odd)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels.where("doc_id % 5 <> 0"))
+    texts = [t for _, t, _ in rows] + odd
+    keys = set()
+    for w in {plain(w) for t in texts for w in WORD.findall(t or "")} | {plain(w, True) for t in texts for w in WORD.findall(t or "")}:
+        if not w:
+            continue
+        data, _, found = toxicity.normal(flat(pa.array([w])), False)
+        whole, start = toxicity.entries(data, found)
+        if whole[0] in model.lexicon:
+            keys.add((w, "whole"))
+        if start[0] in model.lexicon:
+            keys.add((w.encode()[:4], "start"))
+    assert len(keys) >= 3
+    x = [brute_features(t, keys) for t in texts]
+    assert np.allclose(toxicity.features(flat(pa.array(texts)), model.lexicon), x)
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    for d, f in zip([d for d, _, _ in rows] + list(range(9000, 9000 + len(odd))), x):
+        assert abs(got[d] - brute_score(model, f)) < 1e-9
+
+
+def test_calibration_rows_make_no_lexicon(spark):
+    """A word that only calibration rows have is not learned."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(2000).select("id", (F.pmod(F.xxhash64("id", F.lit(31)), F.lit(5)) != 0).alias("fits")).collect()
+    rows = [(r.id, ("fitword " if r.fits else "restword ") * (r.id % 2) + f"plain text {r.id % 7}", r.id % 2) for r in ids]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    learned = set(model.lexicon.tolist())
+    assert set(toxicity._hashes(["fitword"]).tolist()) <= learned and not set(toxicity._hashes(["restword"]).tolist()) & learned
+
+
+def test_samples_are_bounded_and_repeats_learned_once(spark):
+    rows = documents(400, 9)
+    df = spark.createDataFrame([(d, t) for d, t, _ in rows + rows + rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id bigint, toxic int")
+    one = toxicity.train(df, labels, toxicity.Sample(rounds=5))
+    two = toxicity.train(df.dropDuplicates(["doc_id"]), labels, toxicity.Sample(rounds=5))
+    assert (one.lexicon == two.lexicon).all() and np.allclose(one.trees.leaf, two.trees.leaf)
