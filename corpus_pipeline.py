@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. Between stages the rows are written as Parquet
 to the cluster's shared folder and read again.
+
+Rows are what stays or goes, never ids. Null text counts as empty, has no words and
+goes with the quality rules. Of equal texts one row stays, that of the largest
+doc_id (a null one only if there is no other); of linked documents one row, that of
+the smallest doc_id (a null one last, then by the text's hash). So rows that share a
+doc_id but not their text are judged apart, and a row that occurs twice stays once.
+Other columns are carried along, whatever their names. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
