@@ -33,10 +33,8 @@ How it finds links without comparing all pairs:
    components. A block grows with the square root of its run up to a bound, so a
    text of a run of n documents is sent about sqrt(n) / 32 times, at most n / 8192
    times beyond 65,536. So no link is lost at any size, and no pairs are listed.
-4. Candidates are verified, first one for each document, then those between
-   components that are still apart. A sketch of each set, its numbers of elements
-   in 64 or 256 ranges, bounds the distance of a pair from below; texts are read
-   and whole sets compared only for pairs that this bound doesn't settle.
+4. Candidates are verified by comparing whole sets, those of one centre together,
+   so that a centre is read once for CHUNK members.
 
 Elements are 64-bit hashes of shingles; two different shingles of a pair meet
 by chance with a probability of about 1e-13 for texts of a thousand words.
@@ -64,8 +62,6 @@ from plumbline.llm.textbatch import LOWER, SLICE_BYTES, Texts, U, mix, salted, s
 #: Up to this distance ranges have three sub-ranges, beyond it two: sets with many
 #: elements have strong signatures anyway, and many of them.
 FINE = 64
-#: Ranges of a sketch, and of that of a set of at least so many elements.
-FEW, MANY, LARGE_SET = 64, 256, 2000
 #: Members compared with one reading of their centre.
 CHUNK = 64
 #: Members and elements of a tile, in which a block is compared, and elements in a matrix at a time.
@@ -76,7 +72,7 @@ TILES = 8
 WIDTH = 1.05
 
 EDGE = pa.schema({"kind": pa.int32(), "sig": pa.int64(), "a": pa.int64(), "b": pa.int64(), "rank": pa.int64()})
-SETS = "row bigint, doc_id bigint, text_sha256 string, n bigint, h1 bigint, h2 bigint, packed binary, sketch binary"
+SETS = "row bigint, doc_id bigint, text_sha256 string, n bigint, h1 bigint, h2 bigint, packed binary"
 EDGES = "kind int, sig bigint, a bigint, b bigint, rank bigint"
 
 
@@ -114,22 +110,6 @@ def element_sets(texts: Texts, size: int) -> list[np.ndarray]:
     return out
 
 
-def sketch(elements: np.ndarray) -> bytes:
-    """Numbers of elements in equal ranges of the domain, two bytes each."""
-    n = MANY if len(elements) >= LARGE_SET else FEW
-    inner = np.arange(1, n, dtype=U) << U(64 - n.bit_length() + 1)
-    counts = np.diff(np.concatenate([[0], np.searchsorted(elements, inner), [len(elements)]]))
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
-
-
-def least_distance(one: bytes, two: bytes) -> int:
-    """A lower bound of the number of elements that only one of two sets has."""
-    a, b = (np.frombuffer(x, "<u2").astype(np.int64) for x in (one, two))
-    if len(a) != len(b):
-        a, b = (x.reshape(FEW, -1).sum(axis=1) for x in (a, b))
-    return int(np.abs(a - b).sum())
-
-
 def _fingerprints(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -141,10 +121,9 @@ def _fingerprints(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 one = np.array([mix(x ^ salted(11)).sum() for x in sets], U)
                 two = np.array([mix(x ^ salted(12)).sum() for x in sets], U)
             packed = [pack.compress(texts.raw(i)) if n[i] else None for i in range(len(texts))]
-            sketches = [sketch(x) if len(x) else None for x in sets]
             own = pa.array(np.arange(row, row + len(texts), dtype=np.int64))
             row += len(texts)
-            yield pa.record_batch([own, *batch.columns[:2], pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(packed, pa.binary()), pa.array(sketches, pa.binary())], names=[x.split()[0] for x in SETS.split(", ")])
+            yield pa.record_batch([own, *batch.columns[:2], pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(packed, pa.binary())], names=[x.split()[0] for x in SETS.split(", ")])
 
     return run
 
@@ -413,33 +392,17 @@ def _verified(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _close_enough(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (a, n, one, b, m, two) whose sketches leave room for a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, n, one, b, m, two = (c.to_pylist() for c in batch.columns)
-            keep = [i for i in range(len(a)) if least_distance(one[i], two[i]) * (100 + rule.percent) <= (n[i] + m[i]) * (100 - rule.percent)]
-            yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the pairs (a, b) that link. Each centre b is read once per CHUNK members."""
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sketches = _of(sets.select("doc_id", "n", "sketch"), ends)
-    one = sketches.select(F.col("doc_id").alias("a"), "n", F.col("sketch").alias("one"))
-    two = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("two"))
-    sized = pairs.join(one, "a").join(two, "b").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * rule.percent)
-    close = written(sized.select("a", "n", "one", "b", "m", "two").mapInArrow(_close_enough(rule), "a bigint, b bigint").distinct(), "close")
+def _verify(pairs: DataFrame, packed: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the distinct pairs (a, b) that link. Each centre b is read once per CHUNK members."""
+    sized = pairs.join(sizes, "a").join(sizes.select(F.col("a").alias("b"), F.col("n").alias("m")), "b").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * rule.percent)
+    close = written(sized.select("a", "b"), "close")
     degree = close.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = written(close.join(degree, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk")), "dealt")
-    texts = _of(sets.select("doc_id", "packed"), dealt.select(F.col("a").alias("id")).unionByName(dealt.select(F.col("b").alias("id"))).distinct())
+    dealt = close.join(degree, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("chunks")).alias("chunk"))
+    texts = _of(packed, close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct())
     members = dealt.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "chunk", F.lit(1).cast("bigint").alias("member"), "a", "packed")
     centres = dealt.select("b", "chunk").distinct().join(texts.withColumnRenamed("doc_id", "b"), "b").select("b", "chunk", F.lit(0).cast("bigint").alias("member"), F.col("b").alias("a"), "packed")
     rows = members.unionByName(centres).repartition("b", "chunk").sortWithinPartitions("b", "chunk", "member")
-    return rows.mapInArrow(_verified(rule), "a bigint, b bigint").distinct()
+    return rows.mapInArrow(_verified(rule), "a bigint, b bigint")
 
 
 def _tiles(sets: list[np.ndarray], chosen: np.ndarray, tile: int) -> list[np.ndarray]:
@@ -591,8 +554,7 @@ def _found(docs: DataFrame, rule: Rule, hashed: bool) -> _Found:
     own = text_hash(F.col("text")) if hashed else F.lit(None).cast("string")
     sets = written(texts_of(docs, own.alias("text_sha256")).mapInArrow(_fingerprints(rule.size), SETS), "sets")
     classes = written(sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("class_id")), "classes")
-    usable = sets.where("n > 0").select(F.col("row").alias("doc_id"), "n", "packed", "sketch")
-    packed = usable.select("doc_id", "packed")
+    packed = sets.where("n > 0").select(F.col("row").alias("doc_id"), "packed")
     nodes = packed.join(few(classes.select(F.col("node").alias("doc_id"))), "doc_id")
 
     links: DataFrame | None = None
@@ -603,35 +565,27 @@ def _found(docs: DataFrame, rule: Rule, hashed: bool) -> _Found:
     for by_prefix in (False, True):
         # A fixed number of parts: these rows are small, but what is done with them is not.
         found = written(signed.repartition(parts, "key").sortWithinPartitions("key", "rank", "a").mapInArrow(lambda rows: _edges(rows, rule.small_run), EDGES), "found")
-        pairs = written(found.where("a <> b").groupBy("a", "b").agg(F.max("kind").alias("kind"), F.min("rank").alias("rank")), "pairs")
-        # First one candidate of each document (a centre if it has one), then what is still apart.
-        best = F.min_by("b", F.struct(-F.col("kind"), F.col("rank"), F.col("b"))).alias("b")
-        tried: DataFrame | None = None
-        for _ in range(2):
-            left = _apart(pairs, labels)
-            if tried is None:
-                left = left.groupBy("a").agg(best)
-            else:
-                left = left.where(F.lit(by_prefix) | (F.col("kind") == 0)).select("a", "b").join(tried, ["a", "b"], "left_anti")
-            tried = left = written(left, "left")
-            if left.isEmpty():
-                break
-            new = written(_verify(left, usable, rule), "links")
+        # All pairs of small runs, and of a document's large runs the centre of least rank; in the end all centres.
+        pairs = found.where("a <> b")
+        if not by_prefix:
+            best = pairs.where("kind = 1").groupBy("a").agg(F.min_by("b", F.struct("rank", "b")).alias("b"))
+            pairs = pairs.where("kind = 0").select("a", "b").unionByName(best)
+        new = written(_verify(_apart(pairs.select("a", "b").distinct(), labels), packed, sizes, rule), "links")
+        if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-            if not new.isEmpty():
-                labels = components(links)
+            labels = components(links)
         large = found.where("kind = 1")
-        unsettled = written(_apart(large, labels).select("sig").distinct(), "unsettled")
-        if unsettled.isEmpty():
+        runs = written(large.join(_apart(large, labels).select("sig").distinct(), "sig", "left_semi"), "runs")
+        if runs.isEmpty():
             break
-        runs = written(large.join(unsettled, "sig", "left_semi"), "runs")
         if not by_prefix:
             again = runs.select(F.col("a").alias("id")).unionByName(runs.select(F.col("b").alias("id"))).distinct()
             signed = _by_prefix(_of(packed, again), sizes, rule)
             continue
         new = written(_by_blocks(runs, packed, sizes, labels, rule), "links")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
 
     rows = sets.select("row", "doc_id", "text_sha256", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").drop("h1", "h2")
     return _Found(rows, classes, labels, links)
