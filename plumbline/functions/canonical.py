@@ -271,9 +271,9 @@ def canonical(frame: DataFrame, table: Table) -> DataFrame:
     return frame.select(*out)
 
 
-def typed(texts: DataFrame, table: Table) -> DataFrame:
-    """The reverse of canonical: columns of carrier types."""
-    return texts.select(*(typed_value(quoted(c.name), c.type).cast(carrier(c.type)).alias(c.name) for c in table.columns))
+def typed(texts: DataFrame, table: Table, others: tuple[str, ...] = ()) -> DataFrame:
+    """The reverse of canonical: columns of carrier types, after ``others`` as they are."""
+    return texts.select(*others, *(typed_value(quoted(c.name), c.type).cast(carrier(c.type)).alias(c.name) for c in table.columns))
 
 
 def image(columns: tuple[ModelColumn, ...], prefix: str = "") -> Column:
@@ -284,3 +284,47 @@ def image(columns: tuple[ModelColumn, ...], prefix: str = "") -> Column:
         kind = F.when(text.isNull(), "null").otherwise(c.type.family)
         entries += [F.lit(c.name), F.struct(kind.alias("kind"), text.alias("value"))]
     return F.create_map(*entries)
+
+
+def image_text(images: Column, columns: tuple[ModelColumn, ...]) -> Column:
+    """An image as the JSON text that journals of other programs carry: an object of texts,
+    binary in upper-case hex, NULL as null."""
+
+    def text(c: ModelColumn) -> Column:
+        value = images[c.name]["value"]
+        return F.hex(F.unbase64(value)) if c.type.family == "binary" else value
+
+    fields = F.struct(*(text(c).alias(c.name) for c in columns))
+    return F.when(images.isNotNull(), F.to_json(fields, {"ignoreNullFields": "false"}))
+
+
+def image_of_text(text: Column, columns: tuple[ModelColumn, ...], whole: bool = True) -> Column:
+    """The reverse of image_text: values are brought into canonical form on the way.
+
+    A text that isn't a JSON object of texts is an error, and so is a column that is
+    missing (but for ``whole=False``, as in the image of a key) or not of the table.
+    """
+    given = F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"})
+    names = F.array(*(F.lit(c.name) for c in columns))
+    strange = F.array_except(F.map_keys(given), names)
+    missing = F.array_except(names, F.map_keys(given))
+
+    def failed(reason: str, what: Column) -> Column:
+        return F.raise_error(F.concat(F.lit(f"invalid row image, {reason}: "), what)).cast("map<string,string>")
+
+    # Arguments of Python functions are computed for every row: a NULL text must fail nothing.
+    checked = F.when(text.isNotNull() & given.isNull(), failed("not a JSON object", text)).when(F.size(strange) > 0, failed("unknown columns", F.array_join(strange, ", ")))
+    if whole:
+        checked = checked.when(F.size(missing) > 0, failed("missing columns", F.array_join(missing, ", ")))
+    held = checked.otherwise(given)
+    entries: list[Column] = []
+    for c in columns:
+        value = held[c.name]
+        if c.type.family == "binary":
+            value = F.base64(F.unhex(value))
+        elif c.type.family != "text":
+            kind = {"float": T.DoubleType(), "vector": T.StringType()}.get(c.type.family, T.StringType())
+            value = value_text(value.cast(kind), kind, c.type)
+        entries.append(F.struct(F.lit(c.name).alias("key"), F.struct(F.when(value.isNull(), "null").otherwise(c.type.family).alias("kind"), value.alias("value")).alias("value")))
+    every = F.map_from_entries(F.array(*entries))
+    return F.when(text.isNotNull(), every if whole else F.map_filter(every, lambda k, _: F.array_contains(F.map_keys(held), k)))

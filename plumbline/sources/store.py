@@ -1,11 +1,17 @@
 """A store: versioned Parquet tables, their schema, a ledger and a journal.
 
-A version is a folder of tables; ``_current.json`` names the version that
-counts. A change writes the tables that it touches into a new version, lists
-the folders of all others, and then replaces that one small file: readers see
-either the old or the new state, never a mixture, and an executor or the driver
-lost on the way leaves the old one. Files go through Hadoop's file system, so a
-store can be wherever Spark can read and write.
+``_state`` holds one small file for each version, numbered; the highest counts. It
+lists the folders of all tables. A change writes new folders and then the next
+number, which fails if another writer has written it since the state was read: two
+writers never undo each other's commits, one of them gets an error and reads again.
+Readers see either the old or the new state, never a mixture, and an executor or the
+driver lost on the way leaves the old one. Files go through Hadoop's file system, so
+a store can be wherever Spark can read and write.
+
+A table is a base and a few layers over it. A layer holds the keys that a change
+touched, each with its new row or none, so that what is written follows the number
+of changes, not the size of the table. A reader takes the last layer's row of each
+key. Beyond MOST_LAYERS the layers are merged into one; ``compact`` makes a new base.
 """
 
 from __future__ import annotations
@@ -15,7 +21,10 @@ import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.errors import PlumblineError, SchemaError
 from plumbline.functions.canonical import canonical, carrier, typed
@@ -28,7 +37,9 @@ from plumbline.plans.validate import validate
 from plumbline.streaming import journal as journals
 from plumbline.streaming import replay
 
-CURRENT = "_current.json"
+STATE = "_state"
+#: Layers of a table that are read one by one, and versions of the state that stay.
+MOST_LAYERS, OLD_STATES = 8, 20
 
 
 @dataclass
@@ -51,33 +62,44 @@ class Store:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _read(self, name: str) -> str | None:
+    def _read(self, name: str) -> str:
         path, fs = self._file(name)
-        if not fs.exists(path):
-            return None
         stream = fs.open(path)
         try:
             return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
-    def _replace(self, name: str, text: str) -> None:
-        new, fs = self._file(f"{name}.{uuid.uuid4().hex}")
+    def _versions(self) -> list[int]:
+        path, fs = self._file(STATE)
+        if not fs.exists(path):
+            return []
+        names = (f.getPath().getName() for f in fs.listStatus(path))
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _add(self, number: int, text: str) -> None:
+        """Write the state of this number, or fail if there is one."""
+        new, fs = self._file(f"{STATE}/{uuid.uuid4().hex}.new")
         stream = fs.create(new, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        old, _ = self._file(name)
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
-        rename = self.spark.sparkContext._gateway.new_array(options, 1)
-        rename[0] = options.OVERWRITE
-        context.rename(new, old, rename)
+        place, _ = self._file(f"{STATE}/{number:012d}.json")
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:  # a rename without overwriting: the second of two fails
+            context.rename(new, place, self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except (Py4JJavaError, PySparkException) as error:
+            fs.delete(new, False)
+            raise PlumblineError("the store has changed meanwhile") from error
+        for old in self._versions()[:-OLD_STATES]:
+            fs.delete(self._file(f"{STATE}/{old:012d}.json")[0], False)
 
     # -- state
 
     def _current(self) -> dict:
-        text = self._read(CURRENT)
-        return {"tables": {}, "schema": None, "ledger": [], "journal": [], "sequence": 0} if text is None else json.loads(text)
+        numbers = self._versions()
+        if not numbers:
+            return {"number": 0, "tables": {}, "schema": None, "ledger": [], "journal": [], "sequence": 0}
+        return json.loads(self._read(f"{STATE}/{numbers[-1]:012d}.json"))
 
     def schema(self) -> Schema | None:
         """The schema that was stored with the data."""
@@ -87,16 +109,31 @@ class Store:
     def exists(self, table: str) -> bool:
         return table in self._current()["tables"]
 
-    def table(self, table: Table | str) -> DataFrame:
+    def table(self, table: Table | str, now: dict | None = None) -> DataFrame:
         """A table's typed rows."""
         name = table if isinstance(table, str) else table.name
-        folder = self._current()["tables"].get(name)
-        if folder is None:
+        now = self._current() if now is None else now
+        held = now["tables"].get(name)
+        if held is None:
             raise SchemaError(f"table {name!r} is not in the store")
-        return self.spark.read.parquet(f"{self.path}/{folder}")
-
-    def tables(self, schema: Schema) -> dict[str, DataFrame]:
-        return {t.name: self.table(t) for t in schema.tables}
+        base = self.spark.read.parquet(*(f"{self.path}/{f}" for f in held["base"]))
+        if not held["layers"]:
+            return base
+        return replay.merged(base, self._layers(held["layers"]), loads(Schema, now["schema"]).table(name))
+
+    def _layers(self, folders: list[str]) -> DataFrame:
+        """(_key, _row) of some layers: of each key the last."""
+        if len(folders) == 1:
+            return self.spark.read.parquet(f"{self.path}/{folders[0]}")
+        each = [self.spark.read.parquet(f"{self.path}/{f}").withColumn("_layer", F.lit(i)) for i, f in enumerate(folders)]
+        whole = each[0]
+        for more in each[1:]:
+            whole = whole.unionByName(more)
+        return whole.groupBy("_key").agg(F.max_by(F.struct("_row"), "_layer").alias("last")).select("_key", "last._row")
+
+    def tables(self, schema: Schema, now: dict | None = None) -> dict[str, DataFrame]:
+        now = self._current() if now is None else now
+        return {t.name: self.table(t, now) for t in schema.tables}
 
     def count(self, table: str) -> int:
         return self.table(table).count()
@@ -113,15 +150,30 @@ class Store:
 
     # -- commits
 
-    def _commit(self, now: dict, changed: Mapping[str, DataFrame], **more: object) -> None:
+    def _commit(self, now: dict, changed: Mapping[str, DataFrame], deltas: Mapping[str, DataFrame] | None = None, added: Mapping[str, DataFrame] | None = None, **more: object) -> None:
+        """The version after ``now``: tables replaced by ``changed``, touched by ``deltas`` (_key, _row), or with rows ``added``."""
         version = uuid.uuid4().hex
-        folders = dict(now["tables"])
+        tables = {name: {"base": list(held["base"]), "layers": list(held["layers"])} for name, held in now["tables"].items()}
+
+        def put(frame: DataFrame, name: str, kind: str) -> str:
+            folder = f"versions/{version}/{kind}/{name}"
+            frame.write.parquet(f"{self.path}/{folder}")
+            return folder
+
         for name, frame in changed.items():
-            folders[name] = f"versions/{version}/{name}"
-            frame.write.parquet(f"{self.path}/{folders[name]}")
-        if self._current() != now:
-            raise PlumblineError("the store has changed meanwhile")
-        self._replace(CURRENT, json.dumps(now | {"tables": folders} | more))
+            tables[name] = {"base": [put(frame, name, "base")], "layers": []}
+        for name, frame in (added or {}).items():
+            tables[name]["base"].append(put(frame, name, "base"))
+        for name, frame in (deltas or {}).items():
+            layers = [*tables[name]["layers"], put(frame, name, "layer")]
+            tables[name]["layers"] = layers if len(layers) <= MOST_LAYERS else [put(self._layers(layers), name, "merged")]
+        number = now["number"] + 1
+        self._add(number, json.dumps(now | {"tables": tables} | more | {"number": number}))
+
+    def compact(self, name: str) -> None:
+        """Write a table's rows as a new base without layers."""
+        now = self._current()
+        self._commit(now, {name: self.table(name, now)})
 
     def apply_schema(self, schema: Schema) -> None:
         """Empty tables for a schema."""
@@ -139,13 +191,23 @@ class Store:
         self._commit(self._current(), dict(tables), schema=dumps(schema))
 
     def insert(self, schema: Schema, name: str, rows: DataFrame) -> None:
-        """Append rows: defaults for absent columns, generated columns computed, rules checked."""
+        """Append rows: defaults for absent columns, generated columns computed, rules checked.
+
+        Only the new rows are written.
+        """
+        now = self._current()
         table = schema.table(name)
+        before = self.tables(schema, now)
         whole = constraints.with_generated(constraints.with_defaults(rows, schema, table), table)
-        after = dict(self.tables(schema))
-        after[name] = after[name].unionByName(whole)
+        after = {**before, name: before[name].unionByName(whole)}
         constraints.require_sound(schema, after)
-        self._commit(self._current(), {name: after[name]})
+        new = whole.select(*(quoted(f.name).cast(f.dataType).alias(f.name) for f in before[name].schema.fields))
+        if now.get("captured"):
+            self._change(schema, now, {name: after[name]}, before)
+        elif now["tables"][name]["layers"]:  # a row may come back whose key a layer deletes
+            self._commit(now, {}, {name: replay.with_key(new, table).select("_key", F.struct(*map(quoted, new.columns)).alias("_row"))})
+        else:
+            self._commit(now, {}, None, {name: new})
 
     def export_snapshot(self, schema: Schema) -> Snapshot:
         return Snapshot(schema, {t.name: canonical(self.table(t), t) for t in schema.tables})
@@ -159,7 +221,7 @@ class Store:
         schema = validate(snapshot.schema)
         now = self._current()
         for t in schema.tables:
-            if t.name in now["tables"] and not self.table(t).isEmpty():
+            if t.name in now["tables"] and not self.table(t, now).isEmpty():
                 raise SchemaError(f"table {t.name!r} holds rows")
         loaded = {t.name: constraints.with_generated(typed(snapshot.tables[t.name], t), t) for t in schema.tables}
         constraints.require_sound(schema, loaded)
@@ -170,37 +232,44 @@ class Store:
 
     def call(self, schema: Schema, name: str, arguments: Mapping[str, routines.Argument]) -> None:
         """Run a routine: all its actions or none."""
-        before = self.tables(schema)
+        now = self._current()
+        before = self.tables(schema, now)
         after = routines.call(schema, before, name, arguments)
         constraints.require_sound(schema, after)
         changed = {k: v for k, v in after.items() if v is not before[k]}
-        self._change(schema, changed, before)
+        self._change(schema, now, changed, before)
 
-    def _change(self, schema: Schema, changed: Mapping[str, DataFrame], before: Mapping[str, DataFrame], origin: str = "") -> None:
-        """Commit changed tables; where capture is on, with the journal of the change."""
-        now = self._current()
-        if not now.get("captured") or origin:
-            self._commit(now, changed)
-            return
+    def _delta(self, table: Table, old: DataFrame, new: DataFrame) -> DataFrame:
+        """(_key, _row) of the rows that differ."""
+        def keyed(frame: DataFrame, name: str) -> DataFrame:
+            return replay.with_key(frame.select(*(quoted(f.name).cast(f.dataType).alias(f.name) for f in old.schema.fields)), table).select("_key", F.struct(*map(quoted, old.columns)).alias(name))
+
+        both = keyed(old, "was").join(keyed(new, "_row"), "_key", "full_outer")
+        return both.where(~F.col("was").eqNullSafe(F.col("_row"))).select("_key", "_row")
+
+    def _change(self, schema: Schema, now: dict, changed: Mapping[str, DataFrame], before: Mapping[str, DataFrame]) -> None:
+        """Commit new states of tables as layers of what differs; where capture is on, with the journal of the change."""
+        deltas = {k: self._delta(schema.table(k), before[k], v) for k, v in changed.items() if schema.table(k).primary_key}
+        whole = {k: v for k, v in changed.items() if k not in deltas}
         sequence, folders = now["sequence"], list(now["journal"])
         for name, frame in changed.items():
-            table = schema.table(name)
-            if name not in now["captured"]:
+            if name not in now.get("captured", ()):
                 continue
-            rows = journals.capture(schema, table, before[name], frame, self.target, sequence)
+            rows = journals.capture(schema, schema.table(name), before[name], frame, self.target, sequence)
             folder = f"journal/{uuid.uuid4().hex}"
             rows.write.parquet(f"{self.path}/{folder}")
             last = self.spark.read.parquet(f"{self.path}/{folder}").agg({"sequence": "max"}).first()[0]
             if last is not None:
                 folders.append(folder)
                 sequence = last
-        self._commit(now, changed, journal=folders, sequence=sequence)
+        self._commit(now, whole, deltas, journal=folders, sequence=sequence)
 
     def update_tables(self, schema: Schema, changed: Mapping[str, DataFrame]) -> None:
         """Commit new states of tables, captured if capture is on."""
-        before = self.tables(schema)
+        now = self._current()
+        before = self.tables(schema, now)
         constraints.require_sound(schema, {**before, **changed})
-        self._change(schema, changed, before)
+        self._change(schema, now, changed, before)
 
     # -- capture and replay
 
@@ -224,18 +293,19 @@ class Store:
         return journals.read(self.journal(), after, limit)
 
     def ledger(self) -> DataFrame:
-        folders = [f"{self.path}/{f}" for f in self._current()["ledger"]]
+        return self._ledger(self._current())
+
+    def _ledger(self, now: dict) -> DataFrame:
+        folders = [f"{self.path}/{f}" for f in now["ledger"]]
         return self.spark.read.schema(replay.LEDGER).parquet(*folders) if folders else self.spark.createDataFrame([], replay.LEDGER)
 
     def apply_changes(self, schema: Schema, changes: DataFrame, tolerant: bool = False) -> int:
         """Replay changes: tables and ledger in one commit. What replay writes isn't captured."""
-        before = self.tables(schema)
-        done = replay.apply_typed(schema, before, changes, self.ledger(), tolerant)
+        now = self._current()
+        done = replay.apply_typed(schema, self.tables(schema, now), changes, self._ledger(now), tolerant)
         if not done.changes:
             return 0
-        now = self._current()
         folder = f"ledger/{uuid.uuid4().hex}"
         done.ledger.write.parquet(f"{self.path}/{folder}")
-        touched = {r["table"] for r in changes.select("table").distinct().collect()}
-        self._commit(now, {k: v for k, v in done.tables.items() if k in touched}, ledger=[*now["ledger"], folder])
+        self._commit(now, {}, done.deltas, ledger=[*now["ledger"], folder])
         return done.changes

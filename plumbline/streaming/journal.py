@@ -1,21 +1,23 @@
 """Change journals: their schema, rules, and capture as the difference of two states.
 
-A journal row carries its images as maps from column to (kind, canonical text).
-Journals are written partitioned by table, so a reader of some tables opens
-only their files.
+A journal row carries its images as maps from column to (kind, canonical text);
+``as_text`` and ``of_text`` turn them into the JSON texts of other programs' journals
+and back. A journal is a list of Parquet folders, one for each captured change of a
+table, so sequences and tables are clustered in them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.errors import PlumblineError, SchemaError
-from plumbline.functions.canonical import canonical, image
+from plumbline.functions.canonical import canonical, image, image_of_text, image_text
 from plumbline.functions.scalar import quoted
 from plumbline.plans.model import Schema, Table, Target
+from plumbline.shared import written
 
 IMAGE = "map<string,struct<kind:string,value:string>>"
 JOURNAL = (
@@ -55,7 +57,8 @@ def capture(schema: Schema, table: Table, old: DataFrame, new: DataFrame, target
     # A change is addressed by the key that it found.
     primary = F.when(F.col("was"), image(tuple(keys), "old.")).otherwise(image(tuple(keys), "new."))
     rows = changed.select(kind.alias("kind"), primary.alias("primary_key"), before.alias("before"), after.alias("after"), F.concat_ws("\x1f", *(F.coalesce(quoted(f"old.{k}"), quoted(f"new.{k}")) for k in key)).alias("place"))
-    return numbered(rows, "place", after_sequence).select(
+    # The join is needed once, though its rows are read twice: to count parts and to number them.
+    return numbered(written(rows, "changed"), "place", after_sequence).select(
         source_column(target).alias("source"),
         "sequence",
         F.current_timestamp().alias("committed_at"),
@@ -70,7 +73,7 @@ def capture(schema: Schema, table: Table, old: DataFrame, new: DataFrame, target
 
 
 #: Parts in which changes are numbered at the same time.
-PARTS = 1024
+PARTS = 1 << 16
 
 
 def numbered(rows: DataFrame, key: str, start: int) -> DataFrame:
@@ -144,6 +147,39 @@ def suppressed(journal: DataFrame, origin: str) -> DataFrame:
     return journal.where(F.coalesce(F.col("origin"), F.lit("")) != origin)
 
 
+def _by_table(schema: Schema, one: Callable[[Table], Column]) -> Column:
+    """The column that ``one`` gives for each table's rows; an error for a table that isn't in the schema."""
+    wrong = F.raise_error(F.concat(F.lit("unknown table "), F.col("table")))
+    out = None
+    for t in schema.tables:
+        here = F.col("table") == t.name
+        out = F.when(here, one(t)) if out is None else out.when(here, one(t))
+    return wrong if out is None else out.otherwise(wrong)
+
+
+def as_text(journal: DataFrame, schema: Schema) -> DataFrame:
+    """A journal whose images are JSON texts."""
+    def text(c: str) -> Column:
+        def one(t: Table) -> Column:
+            own = tuple(t.column(k) for k in t.primary_key) if c == "primary_key" else t.columns
+            return image_text(F.col(c), own)
+
+        return _by_table(schema, one).alias(c)
+
+    return journal.select(*(text(c) if c in ("primary_key", "before", "after") else quoted(c) for c in journal.columns))
+
+
+def of_text(journal: DataFrame, schema: Schema) -> DataFrame:
+    """The reverse of as_text, with the columns of JOURNAL."""
+    def image_(c: str) -> Column:
+        def one(t: Table) -> Column:
+            return image_of_text(F.when(F.col("table") == t.name, F.col(c)), t.columns, c != "primary_key")
+
+        return _by_table(schema, one).alias(c)
+
+    return journal.select(*(image_(c) if c in ("primary_key", "before", "after") else quoted(c) for c in journal.columns))
+
+
 def images(journal: DataFrame, table: Table, column: str) -> list[Column]:
     """Canonical texts of an image, column by column."""
     return [F.col(column)[c.name]["value"].alias(c.name) for c in table.columns]

@@ -3,8 +3,10 @@
 A change that succeeds leaves a state that depends on it alone: its ``after``
 image, or nothing. So the state that a change meets is the one that the change
 before it (of the same table and key) left, or the destination's row for the
-first. That is a ``lag``; the whole batch is checked at once and in parallel,
-and the new table is the untouched rows plus the last state of each key.
+first. That is a ``lag``; the whole batch is checked at once and in parallel. What
+comes of it is written down once; conflicts are looked for in it, and the new table
+is the untouched rows, as they are, plus the last state of each key. Only rows whose
+keys the batch names are put into canonical form.
 
 An update may change its key. It then takes the row from the old key and puts
 it at the new one, which must have been free: it becomes two events.
@@ -22,12 +24,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.errors import ConflictError
-from plumbline.functions.canonical import typed
+from plumbline.functions.canonical import canonical, typed, value_text
 from plumbline.functions.scalar import quoted
 from plumbline.plans.model import Schema, Table
-from plumbline.streaming.journal import require_valid, tables_of
+from plumbline.shared import written
+from plumbline.streaming.journal import require_valid
 
 LEDGER = "engine string, version string, sequence bigint"
+#: Stands for NULL in a key.
+NULL_KEY = "\x00null"
+
+
+def with_key(frame: DataFrame, table: Table) -> DataFrame:
+    """Typed rows with ``_key``, the canonical texts of their primary key."""
+    kinds = {f.name.lower(): f for f in frame.schema.fields}
+    texts = [value_text(quoted(kinds[k.lower()].name), kinds[k.lower()].dataType, table.column(k).type) for k in table.primary_key]
+    return frame.withColumn("_key", F.array(*(F.coalesce(t, F.lit(NULL_KEY)) for t in texts)))
 
 
 def ledger_rows(journal: DataFrame) -> DataFrame:
@@ -66,8 +78,8 @@ def events(journal: DataFrame, table: Table) -> DataFrame:
     halves of an update that changes the key.
     """
     mine = journal.where(F.col("table") == table.name)
-    key = [F.coalesce(F.col("primary_key")[k]["value"], F.lit("\x00null")) for k in table.primary_key]
-    after_key = [F.coalesce(F.col("after")[k]["value"], F.lit("\x00null")) for k in table.primary_key]
+    key = [F.coalesce(F.col("primary_key")[k]["value"], F.lit(NULL_KEY)) for k in table.primary_key]
+    after_key = [F.coalesce(F.col("after")[k]["value"], F.lit(NULL_KEY)) for k in table.primary_key]
     old, new = F.array(*key), F.array(*after_key)
     moves = (F.col("kind") == "update") & (old != new)
     before, after = _state(F.col("before"), table), _state(F.col("after"), table)
@@ -88,7 +100,7 @@ def checked(steps: DataFrame, current: DataFrame, table: Table, tolerant: bool)
     ``current`` are canonical rows. Rows without events are never in the window.
     """
     n = len(table.columns)
-    here = current.select(F.array(*(F.coalesce(quoted(k), F.lit("\x00null")) for k in table.primary_key)).alias("key"), F.array(*(quoted(c.name) for c in table.columns)).alias("present"))
+    here = current.select(F.array(*(F.coalesce(quoted(k), F.lit(NULL_KEY)) for k in table.primary_key)).alias("key"), F.array(*(quoted(c.name) for c in table.columns)).alias("present"))
     joined = steps.join(here, "key", "left")
     order = Window.partitionBy("key").orderBy("sequence", "step")
     first = F.row_number().over(order) == 1
@@ -101,24 +113,36 @@ def checked(steps: DataFrame, current: DataFrame, table: Table, tolerant: bool)
     fine = strict
     if tolerant:  # but for changes of the key, which must find what they expect
         fine = strict | F.when(F.col("role").isin("insert", "update"), settled).otherwise((F.col("role") == "delete") & absent)
-    last = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("sequence"), F.desc("step"))) == 1
+    last = F.lead(F.lit(True)).over(order).isNull()
     return rows.withColumn("fine", fine).withColumn("last", last)
 
 
+def final_rows(outcome: DataFrame, table: Table, frame: DataFrame) -> DataFrame:
+    """(_key, _row): the last state of each key in the columns of ``frame``; null where the row is gone."""
+    last = outcome.where("last").select(F.col("key").alias("_key"), "state", *(F.col("state")[i].alias(c.name) for i, c in enumerate(table.columns)))
+    values = typed(last, table, ("_key", "state"))
+    names = {c.name.lower(): c.name for c in table.columns}
+    row = F.struct(*(quoted(names[f.name.lower()]).cast(f.dataType).alias(f.name) for f in frame.schema.fields))
+    return values.select("_key", F.when(F.col("state").isNotNull(), row).alias("_row"))
+
+
+def merged(frame: DataFrame, delta: DataFrame, table: Table) -> DataFrame:
+    """``frame`` with the rows of ``delta`` (_key, _row) in the place of those with their keys."""
+    untouched = with_key(frame, table).join(delta.select("_key"), "_key", "left_anti").drop("_key")
+    return untouched.select(*map(quoted, frame.columns)).unionByName(delta.where("_row IS NOT NULL").select("_row.*"))
+
+
 def replayed(current: DataFrame, outcome: DataFrame, table: Table) -> DataFrame:
-    """Canonical rows after the events: untouched rows plus the last state of each key."""
-    touched = outcome.select("key").distinct()
-    key = F.array(*(F.coalesce(quoted(k), F.lit("\x00null")) for k in table.primary_key))
-    untouched = current.withColumn("_key", key).join(touched.withColumnRenamed("key", "_key"), "_key", "left_anti").drop("_key")
-    final = outcome.where("last AND state IS NOT NULL").select(*(F.col("state")[i].alias(c.name) for i, c in enumerate(table.columns)))
-    return untouched.select(*(quoted(c.name) for c in table.columns)).unionByName(final)
+    """Rows after the events of ``outcome``."""
+    return merged(current, final_rows(outcome, table, current), table)
 
 
 @dataclass
 class Applied:
-    """New canonical tables, the ledger's new rows, and the number of changes applied."""
+    """New tables, what changes in them (_key, _row), the ledger's new rows, and the number of changes applied."""
 
     tables: dict[str, DataFrame]
+    deltas: dict[str, DataFrame]
     ledger: DataFrame
     changes: int
 
@@ -132,28 +156,24 @@ def conflicts(schema: Schema, outcomes: Mapping[str, DataFrame]) -> DataFrame |
     return out
 
 
-def apply(schema: Schema, tables: Mapping[str, DataFrame], journal: DataFrame, ledger: DataFrame, tolerant: bool = False) -> Applied:
-    """Apply a batch to canonical tables, or raise the first conflict and change nothing.
+def apply_typed(schema: Schema, tables: Mapping[str, DataFrame], journal: DataFrame, ledger: DataFrame, tolerant: bool = False) -> Applied:
+    """Apply a batch to tables of typed columns, or raise the first conflict and change nothing.
 
     Applied again, it changes nothing: the ledger holds its sequences.
     """
     require_valid(journal, schema)
-    todo = pending(journal, ledger)
-    named = {r["table"] for r in todo.select("table").distinct().collect()}  # no more than the schema's tables
-    if not named:
-        return Applied(dict(tables), ledger.limit(0), 0)
-    outcomes = {t.name: checked(events(todo, t), tables[t.name], t, tolerant) for t in schema.tables if t.name in named}
+    todo = written(pending(journal, ledger), "todo")
+    counts = {r["table"]: r["count"] for r in todo.groupBy("table").count().collect()}  # no more than the schema's tables
+    outcomes: dict[str, DataFrame] = {}
+    for t in schema.tables:
+        if t.name in counts:
+            steps = events(todo, t)
+            touched = with_key(tables[t.name], t).join(steps.select(F.col("key").alias("_key")).distinct(), "_key", "left_semi").drop("_key")
+            outcomes[t.name] = written(checked(steps, canonical(touched, t), t, tolerant), "outcome")
     bad = conflicts(schema, outcomes)
     first = bad.orderBy("sequence").first() if bad is not None else None
     if first is not None:
         raise ConflictError(first["table"], first["key"], first["expected"], first["found"], first["sequence"])
-    out = dict(tables)
-    for name, outcome in outcomes.items():
-        out[name] = replayed(tables[name], outcome, schema.table(name))
-    return Applied(out, ledger_rows(todo), todo.count())
-
-
-def apply_typed(schema: Schema, tables: Mapping[str, DataFrame], journal: DataFrame, ledger: DataFrame, tolerant: bool = False) -> Applied:
-    """The same for tables of typed columns."""
-    done = apply(schema, tables_of(schema, tables), journal, ledger, tolerant)
-    return Applied({t.name: typed(done.tables[t.name], t) for t in schema.tables}, done.ledger, done.changes)
+    deltas = {name: final_rows(outcome, schema.table(name), tables[name]) for name, outcome in outcomes.items()}
+    out = {t.name: merged(tables[t.name], deltas[t.name], t) if t.name in deltas else tables[t.name] for t in schema.tables}
+    return Applied(out, deltas, ledger_rows(todo), sum(counts.values()))

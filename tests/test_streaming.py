@@ -3,6 +3,7 @@ import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline import cli
 from plumbline.errors import ConflictError, ConstraintError, PlumblineError, SchemaError
@@ -120,12 +121,12 @@ def test_replay_equals_a_fold(spark, moves, tolerant):
 def test_apply_is_ordered_idempotent_and_all_or_nothing(spark):
     start = items(spark, [(1, "one")])
     changes = [change(3, "delete", 1, (1, "uno"), None), change(2, "update", 1, (1, "one"), (1, "uno")), change(1, "insert", 2, None, (2, None))]
-    done = replay.apply(SCHEMA, {"items": start}, journal(spark, changes), ledger(spark))
+    done = replay.apply_typed(SCHEMA, {"items": start}, journal(spark, changes), ledger(spark))
     assert [tuple(r) for r in done.tables["items"].collect()] == [("2", None)] and done.changes == 3
-    again = replay.apply(SCHEMA, done.tables, journal(spark, changes), done.ledger)
+    again = replay.apply_typed(SCHEMA, done.tables, journal(spark, changes), done.ledger)
     assert again.changes == 0 and again.tables["items"].count() == 1
     with pytest.raises(ConflictError) as e:
-        replay.apply(SCHEMA, {"items": start}, journal(spark, [change(1, "insert", 3, None, (3, "x")), change(2, "delete", 1, (1, "other"), None)]), ledger(spark))
+        replay.apply_typed(SCHEMA, {"items": start}, journal(spark, [change(1, "insert", 3, None, (3, "x")), change(2, "delete", 1, (1, "other"), None)]), ledger(spark))
     assert (e.value.table, e.value.sequence, e.value.expected, e.value.actual) == ("items", 2, ["1", "other"], ["1", "one"])
 
 
@@ -308,3 +309,68 @@ def test_references_between_tables_on_import(spark, tmp_path):
     a.put_tables(schema, {"items": frame(spark, [(1, "x")]), "kids": spark.createDataFrame([(1, 1), (2, 7)], "id bigint, item bigint")})
     with pytest.raises(ConstraintError, match="FOREIGN KEY"):
         Store(spark, str(tmp_path / "b"), POSTGRES).import_snapshot(a.export_snapshot(schema))
+
+
+def test_two_writers_never_lose_a_commit(spark, tmp_path, monkeypatch):
+    one, two = filled(spark, tmp_path / "s", [(1, "one")]), Store(spark, str(tmp_path / "s"), SQLITE)
+    seen = two._current()
+    one.insert(SCHEMA, "items", frame(spark, [(2, "two")]))
+    monkeypatch.setattr(two, "_current", lambda: seen)
+    for change in (
+        lambda: two.insert(SCHEMA, "items", frame(spark, [(3, "three")])),
+        lambda: two.update_tables(SCHEMA, {"items": frame(spark, [(1, "x")])}),
+        lambda: two.apply_changes(SCHEMA, journal(spark, [change_of(1)])),
+    ):
+        with pytest.raises(PlumblineError, match="meanwhile"):
+            change()
+    assert sorted(tuple(r)[:2] for r in one.table("items").collect()) == [(1, "one"), (2, "two")]
+    monkeypatch.undo()
+    two.insert(SCHEMA, "items", frame(spark, [(3, "three")]))
+    assert one.count("items") == 3
+
+
+def change_of(sequence):
+    return change(sequence, "update", 1, (1, "one"), (1, f"v{sequence}"))
+
+
+def test_layers_follow_the_changes(spark, tmp_path):
+    """Batches write what they touch; layers are merged; deleted rows may come back."""
+    store = filled(spark, tmp_path / "s", [(i, f"t{i}") for i in range(50)])
+    want = {i: f"t{i}" for i in range(50)}
+    base = store._current()["tables"]["items"]["base"]
+    sequence = 0
+    for i in range(12):
+        sequence += 2
+        changes = [change(sequence - 1, "update", i, (i, want[i]), (i, f"u{i}")), change(sequence, "delete", 49 - i, (49 - i, want[49 - i]), None)]
+        assert store.apply_changes(SCHEMA, journal(spark, changes)) == 2
+        assert store.apply_changes(SCHEMA, journal(spark, changes)) == 0
+        want[i] = f"u{i}"
+        del want[49 - i]
+        held = store._current()["tables"]["items"]
+        assert held["base"] == base and 1 <= len(held["layers"]) <= 8
+    assert {r[0]: r[1] for r in store.table("items").collect()} == want
+    store.insert(SCHEMA, "items", frame(spark, [(49, "back")]))
+    want[49] = "back"
+    assert {r[0]: r[1] for r in store.table("items").collect()} == want
+    store.compact("items")
+    assert store._current()["tables"]["items"]["layers"] == [] and {r[0]: r[1] for r in store.table("items").collect()} == want
+
+
+def test_images_as_text_and_back(spark):
+    columns = (Column("id", Type("integer")), Column("b", Type("binary"), True), Column("f", Type("float"), True), Column("t", Type("text"), True), Column("d", Type("decimal"), True))
+    table = Table("x", columns, (Constraint("primary_key", ("id",)),))
+    schema = Schema((table,))
+    rows = [(1, bytearray(b"\x00\xff"), 0.1, 'a"b', "1.50"), (2, None, None, None, None)]
+    new = spark.createDataFrame(rows, "id bigint, b binary, f double, t string, d string")
+    got = journals.capture(schema, table, new.limit(0), new, SQLITE)
+    text = journals.as_text(got, schema)
+    assert sorted(r.after for r in text.collect())[0] == '{"id":"1","b":"00FF","f":"0.1","t":"a\\"b","d":"1.50"}'
+    back = journals.of_text(text, schema)
+    assert sorted(map(str, back.select("sequence", "primary_key", "before", "after").collect())) == sorted(map(str, got.select("sequence", "primary_key", "before", "after").collect()))
+    marked = text.withColumn("after", F.lit('{"id":"7","b":null,"f":"1.00000000000000006e-01","t":null,"d":"\\u0001real2.5"}'))
+    assert {(r.after["f"]["value"], r.after["d"]["value"]) for r in journals.of_text(marked, schema).collect()} == {("0.1", "2.5")}
+    for bad in ('{"id":"7"}', "nonsense", '{"id":"7","b":null,"f":null,"t":null,"d":null,"z":"1"}'):
+        with pytest.raises(Exception, match="invalid row image"):
+            journals.of_text(text.withColumn("after", F.lit(bad)), schema).collect()
+    with pytest.raises(Exception, match="unknown table"):
+        journals.of_text(text.withColumn("table", F.lit("y")), schema).collect()
