@@ -122,7 +122,7 @@ def _document(path: str, kind: type):
 def _schema(path: str, config: Migration) -> Schema:
     inline = config.schema is not None and bool(config.schema.tables)
     if inline == bool(config.schema_ref):
-        raise Failure(CONFIG, "config must specify exactly one of schema or schema_ref")
+        raise Failure(CONFIG, "a config has either schema or schema_ref")
     schema = config.schema if inline else _document(os.path.join(os.path.dirname(path), config.schema_ref), Schema)
     return _under(SCHEMA, lambda: validate(schema))
 
@@ -157,7 +157,7 @@ def _stores(config: Migration):
 def run_audit(arguments: list[str]) -> int:
     _, rest = split_arguments((), arguments)
     if len(rest) != 1:
-        raise Failure(USAGE, "audit requires exactly one contract JSON argument")
+        raise Failure(USAGE, "audit takes one argument, the file of a contract")
     contract = _document(rest[0], Contract)
     findings = _under(CONFIG, lambda: audit(contract))
     print(dumps(findings))
@@ -168,7 +168,7 @@ def run_audit(arguments: list[str]) -> int:
 def run_copy(arguments: list[str]) -> int:
     _, rest = split_arguments((), arguments)
     if len(rest) != 1:
-        raise Failure(USAGE, "copy requires exactly one migration JSON argument")
+        raise Failure(USAGE, "copy takes one argument, the file of a migration")
     config = _document(rest[0], Migration)
     schema = _schema(rest[0], config)
     _findings(config.contract, schema)
@@ -202,23 +202,23 @@ def drain(source, destination, schema: Schema, options: Options) -> int:
 def run_cutover(arguments: list[str]) -> int:
     flags, rest = split_arguments(("--dry-run",), arguments)
     if len(rest) != 1:
-        raise Failure(USAGE, "cutover requires exactly one cutover JSON argument")
+        raise Failure(USAGE, "cutover takes one argument, the file of a cutover")
     config = _document(rest[0], Cutover)
     schema = _schema(rest[0], config)
     options = config.options.filled()
     findings = _findings(config.contract, schema)
-    print(f"audit: exact coverage for {len(findings)} required features", file=sys.stderr)
+    print(f"all {len(findings)} features can be carried over", file=sys.stderr)
     source, destination = _stores(config)
     if "--dry-run" in flags:
         counted = tuple(PlanTable(t.name, _under(INTERNAL, lambda t=t: source.count(t.name))) for t in schema.tables)
         print(dumps(Plan("plan", tuple(findings), counted, all(destination.exists(t.name) for t in schema.tables))))
         return 0
     _under(CAPTURE, lambda: source.install_capture(schema))
-    print("capture: change capture installed on source", file=sys.stderr)
+    print("the source records its changes from now on", file=sys.stderr)
     _under(SNAPSHOT, lambda: destination.import_snapshot(source.export_snapshot(schema)))
-    print("snapshot: imported into destination", file=sys.stderr)
+    print("the destination holds the snapshot", file=sys.stderr)
     applied = drain(source, destination, schema, options)
-    print(f"catch-up: drained after {applied} changes", file=sys.stderr)
+    print(f"{applied} changes replayed, none left", file=sys.stderr)
     report = _under(SNAPSHOT, lambda: source.verify(schema, destination))
     print(dumps(CutoverReport("ready" if report.equivalent else "diverged", "" if report.equivalent else DIVERGED, report.source_digest, report.destination_digest, applied)))
     return 0 if report.equivalent else 1
@@ -232,8 +232,8 @@ def main(arguments: list[str]) -> int:
         if not arguments or arguments[0] not in COMMANDS:
             first = arguments[0] if arguments else ""
             if first.startswith("-") and first not in ("-h", "-help", "--help"):
-                raise Failure(USAGE, "flags must follow the subcommand")
-            raise Failure(USAGE, "missing or unknown subcommand")
+                raise Failure(USAGE, "a command comes before its flags")
+            raise Failure(USAGE, "audit, copy or cutover is expected")
         return COMMANDS[arguments[0]](arguments[1:])
     except Failure as failure:
         print(str(failure), file=sys.stderr)

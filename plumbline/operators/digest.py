@@ -64,7 +64,7 @@ def verify(schema: Schema, source: Mapping[str, DataFrame], destination: Mapping
 
 def require_equivalent(report: Report) -> None:
     if not report.equivalent:
-        raise PlumblineError(f"snapshot mismatch: source {report.source_digest} destination {report.destination_digest}")
+        raise PlumblineError(f"the destination differs: its digest is {report.destination_digest}, the source's {report.source_digest}")
 
 
 def differences(source: DataFrame, destination: DataFrame) -> DataFrame:

@@ -106,6 +106,9 @@ class Store:
         text = self._current()["schema"]
         return None if text is None else loads(Schema, text)
 
+    def names(self) -> list[str]:
+        return sorted(self._current()["tables"])
+
     def exists(self, table: str) -> bool:
         return table in self._current()["tables"]
 
@@ -186,9 +189,9 @@ class Store:
             new[t.name] = self.spark.createDataFrame([], ", ".join(f"`{c.name}` {carrier(c.type).simpleString()}" for c in t.columns))
         self._commit(now, new, schema=dumps(schema))
 
-    def put_tables(self, schema: Schema, tables: Mapping[str, DataFrame]) -> None:
-        """Replace tables by typed rows, whatever was there (for loading test data)."""
-        self._commit(self._current(), dict(tables), schema=dumps(schema))
+    def put_tables(self, schema: Schema | None, tables: Mapping[str, DataFrame]) -> None:
+        """Replace tables by typed rows, whatever was there (for loading test data); without a schema they are data alone."""
+        self._commit(self._current(), dict(tables), schema=None if schema is None else dumps(schema))
 
     def insert(self, schema: Schema, name: str, rows: DataFrame) -> None:
         """Append rows: defaults for absent columns, generated columns computed, rules checked.

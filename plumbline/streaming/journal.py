@@ -109,15 +109,15 @@ def problems(journal: DataFrame, schema: Schema) -> DataFrame:
     no_version = (version["major"] < 0) | (version["minor"] < 0) | (version["patch"] < 0) | (version["major"] + version["minor"] + version["patch"] == 0)
     problem = (
         F.when(F.col("source").isNull() | engine.isNull() | ~engine.isin("sqlite", "postgres"), "unknown engine")
-        .when(F.coalesce(no_version, F.lit(True)), "engine version is required")
-        .when(F.coalesce(F.col("sequence"), F.lit(0)) <= 0, "change sequence must be positive")
-        .when(F.coalesce(F.col("table"), F.lit("")) == "", "change table is required")
+        .when(F.coalesce(no_version, F.lit(True)), "the source has no version")
+        .when(F.coalesce(F.col("sequence"), F.lit(0)) <= 0, "the sequence is not above zero")
+        .when(F.coalesce(F.col("table"), F.lit("")) == "", "no table is named")
         .when(~F.col("table").isin(*tables), "unknown table")
-        .when(empty("primary_key"), "change primary key is required")
-        .when(F.coalesce(~F.col("kind").isin("insert", "update", "delete"), F.lit(True)), "unknown change kind")
-        .when((F.col("kind") == "insert") & empty("after"), "insert requires an after row")
-        .when((F.col("kind") == "update") & (empty("before") | empty("after")), "update requires before and after rows")
-        .when((F.col("kind") == "delete") & empty("before"), "delete requires a before row")
+        .when(empty("primary_key"), "no key is given")
+        .when(F.coalesce(~F.col("kind").isin("insert", "update", "delete"), F.lit(True)), "neither insert, update nor delete")
+        .when((F.col("kind") == "insert") & empty("after"), "an insert without its row")
+        .when((F.col("kind") == "update") & (empty("before") | empty("after")), "an update without both rows")
+        .when((F.col("kind") == "delete") & empty("before"), "a delete without its row")
         .when(partial("before") | partial("after"), "an image misses columns")
     )
     return journal.select("sequence", problem.alias("problem")).where("problem IS NOT NULL")
@@ -129,7 +129,7 @@ def repeated_sequences(journal: DataFrame) -> DataFrame:
 
 def require_valid(journal: DataFrame, schema: Schema) -> None:
     """Raise for the change of the least sequence that breaks a rule."""
-    twice = repeated_sequences(journal).select("sequence", F.concat(F.lit("duplicate sequence for "), F.col("source.engine")).alias("problem"))
+    twice = repeated_sequences(journal).select("sequence", F.concat(F.lit("sequence given twice by "), F.col("source.engine")).alias("problem"))
     bad = problems(journal, schema).unionByName(twice).orderBy("sequence").first()
     if bad is not None:
         raise PlumblineError(f"change {bad['sequence']}: {bad['problem']}")

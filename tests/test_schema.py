@@ -134,3 +134,31 @@ def test_inspection_lists_what_it_cannot_prove():
     assert [t.name for t in found.schema.tables] == ["a"] and [v.name for v in found.schema.views] == ["v"] and [t.name for t in found.schema.triggers] == ["t"]
     assert not found.exact and {(u.kind, u.name) for u in found.unresolved} == {("view", "w"), ("statement", "s")}
     assert inspect_ddl(["CREATE TABLE a (id INTEGER)"]).exact
+
+
+NATIVE = [
+    "CREATE DOMAIN money_amount AS numeric(10,2) CHECK (VALUE >= 0)",
+    "CREATE TABLE a (id integer, price money_amount NOT NULL, name text DEFAULT 'x'::text)",
+    "CREATE TABLE b (id integer, a_id integer)",
+    "ALTER TABLE ONLY a ADD CONSTRAINT a_pkey PRIMARY KEY (id)",
+    "ALTER TABLE public.b ADD CONSTRAINT b_fk FOREIGN KEY (a_id) REFERENCES a(id) ON DELETE CASCADE",
+    "ALTER TABLE b ADD CHECK (id > 0)",
+    "ALTER TABLE b ADD CONSTRAINT odd CHECK (round(id) = 1)",
+    "ALTER TABLE missing ADD UNIQUE (x)",
+    "CREATE TRIGGER t AFTER INSERT ON a FOR EACH ROW EXECUTE FUNCTION f()",
+    "CREATE OR REPLACE FUNCTION f() RETURNS trigger LANGUAGE plpgsql AS $$ BEGIN DELETE FROM b WHERE id = NEW.id; RETURN NEW; END $$",
+    "CREATE FUNCTION r(k integer) RETURNS void AS $body$ DELETE FROM b WHERE id = k $body$ LANGUAGE sql;",
+    "CREATE PROCEDURE p(IN k integer, label text) LANGUAGE plpgsql AS $$ BEGIN UPDATE a SET name = label WHERE id = k; END $$",
+    "CREATE FUNCTION bad(k integer) RETURNS integer AS $$ SELECT 1 $$ LANGUAGE sql",
+    "CREATE FUNCTION odd_form(k integer) RETURNS integer RETURN k + 1",
+]
+
+
+def test_inspection_of_a_server():
+    found = inspect_ddl(NATIVE)
+    schema = found.schema
+    assert [t.name for t in schema.tables] == ["a", "b"] and schema.table("a").primary_key == ("id",) and not schema.table("a").column("id").nullable
+    assert schema.table("a").column("price").type == Type("decimal", (10, 2)) and schema.table("a").column("name").default == Expression("string", "x")
+    assert [c.kind for c in schema.table("b").constraints] == ["foreign_key", "check"] and schema.table("b").constraints[0].references == Reference("a", ("id",), "", "cascade")
+    assert [t.name for t in schema.triggers] == ["t"] and [r.name for r in schema.routines] == ["r", "p"]
+    assert {(u.kind, u.name) for u in found.unresolved} == {("domain_column", "a.price"), ("check", "b"), ("constraint", "missing"), ("function", "bad"), ("function", "odd_form")}
