@@ -118,8 +118,33 @@ def test_registered_queries_cover_their_whole_tables(spark, tmp_path):
 
     lines = [(k, n, 3 * k, n) for k in (1, 499, 500, 900_000) for n in (1, 2)]
     spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber bigint, l_partkey bigint, l_suppkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
-    assert {tuple(r) for r in QUERIES["q_arith_whole"](spark, str(tmp_path)).collect()} == {(k, n, 2 * p - s + 7) for k, n, p, s in lines}
+    assert {tuple(r) for r in QUERIES["q_arith"](spark, str(tmp_path)).collect()} == {(k, n, 2 * p - s + 7) for k, n, p, s in lines}
     orders = [(1, 5, "O"), (2, 5_000, "O"), (3, 6, "F"), (4, 7_000, "P")]
     spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
-    assert {tuple(r) for r in QUERIES["q_trigger_update_open"](spark, str(tmp_path)).collect()} == {(1, "X"), (2, "X"), (3, "old"), (4, "old")}
-    assert {tuple(r) for r in QUERIES["q_trigger_delete_open"](spark, str(tmp_path)).collect()} == {(3, "old"), (4, "old")}
+    assert {tuple(r) for r in QUERIES["q_trigger_update"](spark, str(tmp_path)).collect()} == {(1, "X"), (2, "X"), (3, "old"), (4, "old")}
+    assert {tuple(r) for r in QUERIES["q_trigger_delete"](spark, str(tmp_path)).collect()} == {(3, "old"), (4, "old")}
+
+
+def test_search_finds_whole_tokens_only(spark):
+    from plumbline.operators.search import search
+
+    rows = [(1, "The cat, of AND"), (2, "theory of and"), (3, None), (4, "\u00c9t\u00e9 the-of_and"), (5, "a1 the1 of and"), (6, "the\u00e9 of and the"), (7, "")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    ids = lambda q: [r.id for r in search(df, "id", ["text"], q).collect()]
+    assert ids("of, THE and!") == ["1", "4", "6"]
+    assert ids("\u00e9T\u00e9") == ["4"] and ids("1") == [] and ids("a1") == ["5"]
+    assert ids("  .") == [str(i) for i in range(1, 8)]
+
+
+def test_server_store_reads_in_parts(spark):
+    from plumbline.errors import SchemaError
+    from plumbline.plans.model import Target, Version
+    from plumbline.sources.jdbc import Parts, ServerStore
+
+    server = ServerStore(spark, "jdbc:derby:memory:parts;create=true", Target("postgres", Version(17)), {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    rows = spark.range(100).selectExpr("id AS K", "CAST(id AS STRING) AS T")
+    server.append("ROWS_", rows)
+    got = server.table("ROWS_", Parts("K", 10, 90, 4))
+    assert got.rdd.getNumPartitions() == 4 and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect())) and server.count("ROWS_") == 100
+    with pytest.raises(SchemaError):
+        ServerStore(spark, "file:/x", Target("postgres", Version(17)))
