@@ -1,43 +1,22 @@
 """Intermediate tables in the folder that driver and executors share.
 
-Lineage is cut by writing Parquet below ``spark.checkpoint.dir``: a lost
-executor then costs a reread, never a recomputation of what stood before.
-Where the setting is missing (tests, a laptop) a temporary folder is set.
+Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` (see
+``plumbline.shared``): a lost executor then costs a reread, never a recomputation of
+what stood before.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.shared import written
+
 #: Rows of an Arrow batch to Python, where the session has Spark's own default of 10,000:
 #: a batch of long documents would otherwise be as large as a task's memory.
 BATCH_ROWS, DEFAULT_ROWS = 1_000, "10000"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session's cluster; set here only if unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back with its own schema."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 #: Up to so many narrow rows are broadcast, which is some 50 MB; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
