@@ -68,6 +68,8 @@ CHUNK = 64
 TILE, ELEMENTS, COLUMNS = 1024, 1 << 18, 4096
 #: A block has so many tiles at most (on average), in members and in elements.
 TILES = 8
+#: Elements looked at for those of one document alone, as a multiple of what a document may have.
+ALONE = 1.6
 #: Ratio of the bounds of size bands for prefixes.
 WIDTH = 1.05
 
@@ -256,12 +258,14 @@ def _signed(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def _elements(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(element, a) of packed texts."""
+def _elements(rule: Rule, share: float = 1.0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(element, a) of packed texts, of the elements in the lowest ``share`` of their domain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (ids,), texts in _unpacked(batches, ["doc_id"]):
             sets = element_sets(texts, rule.size)
+            if share < 1:
+                sets = [x[: int(np.searchsorted(x, U(int(share * 2.0**64))))] for x in sets]
             yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(ids, [len(x) for x in sets]))], names=["element", "a"])
 
     return run
@@ -281,6 +285,22 @@ def _band(size: Column) -> Column:
     return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.log(F.lit(WIDTH)) + 1e-9).cast("int")
 
 
+def _may_link(nodes: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """``nodes`` without those that can link with none of them, by what a part of the domain shows.
+
+    A set of n elements links only if at least ``ceil(percent * n / 100)`` of them are shared,
+    so not if more than the rest occur in no other set. These are counted in the lowest part of
+    the domain of elements, which is so large that a document with little text in common with
+    others has enough of them there. What is left is not decided here.
+    """
+    share = min(1.0, ALONE * (100 - rule.percent) / 100)
+    some = nodes.mapInArrow(_elements(rule, share), "element bigint, a bigint")
+    once = some.groupBy("element").agg(F.count("*").alias("df"), F.min("a").alias("a")).where("df = 1")
+    alone = once.groupBy("a").agg(F.count("*").alias("alone")).join(sizes, "a")
+    lone = alone.where(F.col("alone") > F.col("n") - F.ceil(F.col("n") * rule.percent / 100))
+    return nodes.join(few(lone.select(F.col("a").alias("doc_id"))), "doc_id", "left_anti")
+
+
 def _by_prefix(nodes: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
     """Prefix signatures of ``nodes``. Elements of one document alone can't be shared;
     they only move the others back, which their number tells."""
@@ -580,7 +600,7 @@ def _found(docs: DataFrame, rule: Rule, hashed: bool) -> _Found:
             break
         if not by_prefix:
             again = runs.select(F.col("a").alias("id")).unionByName(runs.select(F.col("b").alias("id"))).distinct()
-            signed = _by_prefix(_of(packed, again), sizes, rule)
+            signed = _by_prefix(_may_link(_of(packed, again), sizes, rule), sizes, rule)
             continue
         new = written(_by_blocks(runs, packed, sizes, labels, rule), "links")
         if not new.isEmpty():

@@ -169,3 +169,21 @@ def test_blocks_give_a_forest_of_all_links():
         got = [got[j] if r == got[i] else r for r in got]
     assert len(links) == 40 - len(set(root))
     assert len({(a, b) for a, b in zip(root, got)}) == len(set(root)) == len(set(got))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_only_documents_without_a_link_are_left_out(spark, percent):
+    """Documents of one passage and much text of their own go; whatever links with another stays."""
+    r = random.Random(percent)
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(i, f"{passage} " + " ".join(f"w{r.randrange(10**9)}" for _ in range(180))) for i in range(40)]
+    rows += [(100 + i, " ".join(f"c{k}" for k in range(i, i + 120))) for i in range(6)]
+    rows += [(200, "one"), (201, "two words"), (202, f"{passage} end")]
+    rule = jj.Rule(3, percent, 2)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    packed = docs.selectExpr("doc_id", "cast(null as string) text_sha256", "text").mapInArrow(jj._fingerprints(rule.size), jj.SETS).select("doc_id", "n", "packed")
+    left = {x.doc_id for x in jj._may_link(packed.select("doc_id", "packed"), packed.selectExpr("doc_id a", "n"), rule).collect()}
+    root = {d: c for d, _, c in brute(rows, rule.size, percent)}
+    linked = {d for d in root if list(root.values()).count(root[d]) > 1}
+    assert {100 + i for i in range(6)} <= linked <= left
+    assert len(left & set(range(40))) < 4
