@@ -57,15 +57,15 @@ from pyspark.sql import functions as F
 from plumbline.llm.components import components
 from plumbline.llm.exact_dedup import text_hash, without
 from plumbline.llm.scratch import few, texts_of, written
-from plumbline.llm.textbatch import LOWER, SLICE_BYTES, Texts, U, mix, salted, shingles, slices, words
+from plumbline.llm.textbatch import LOWER, SLICE_BYTES, Texts, U, mix, released, salted, shingles, slices, words
 
 #: Up to this distance ranges have three sub-ranges, beyond it two: sets with many
 #: elements have strong signatures anyway, and many of them.
 FINE = 64
 #: Members compared with one reading of their centre.
 CHUNK = 64
-#: Members and elements of a tile, in which a block is compared, and elements in a matrix at a time.
-TILE, ELEMENTS, COLUMNS = 1024, 1 << 18, 4096
+#: Members and elements of a tile, in which a block is compared; elements in a matrix at a time, and its rows judged at a time.
+TILE, ELEMENTS, COLUMNS, ROWS = 1024, 1 << 18, 2048, 256
 #: A block has so many tiles at most (on average), in members and in elements.
 TILES = 8
 #: Elements looked at for those of one document alone, as a multiple of what a document may have.
@@ -144,6 +144,7 @@ def _unpacked(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator
                 ends = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in held])])
                 yield [k[at : i + 1] for k in keys], Texts(np.frombuffer(b"".join(held), np.uint8), ends, np.ones(len(held), bool))
                 held, at, size = [], i + 1, 0
+    released()
 
 
 # --------------------------------------------------------------------------- signatures
@@ -459,13 +460,16 @@ def _linked(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> list[tup
     number = np.cumsum(new) - 1
     twice = np.bincount(number)[number] > 1
     doc, number = doc[twice], np.unique(number[twice], return_inverse=True)[1]
-    common = np.zeros((len(sets), len(sets)))
+    common = np.zeros((len(sets), len(sets)), np.int32)
     for at in range(0, int(number.max(initial=-1)) + 1, COLUMNS):
         lo, hi = np.searchsorted(number, (at, at + COLUMNS))
         part = np.zeros((len(sets), COLUMNS), np.float32)
         part[doc[lo:hi], number[lo:hi] - at] = 1
-        common += part @ part.T
-    linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        np.add(common, part @ part.T, out=common, casting="unsafe")  # whole numbers up to COLUMNS
+    linked = np.zeros(common.shape, bool)
+    for at in range(0, len(sets), ROWS):
+        own = slice(at, at + ROWS)
+        linked[own] = (100 + percent) * common[own].astype(np.int64) >= percent * (n[own, None] + n[None, :])
     linked &= roots[:, None] != roots[None, :]
     above: dict[int, int] = {}
 
