@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import io
 import json
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -124,7 +126,9 @@ def q_store_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
 def q_jdbc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table written to a server and read back in parts; the server is the embedded one that Spark brings."""
-    server = ServerStore(spark, f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", POSTGRES, {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="plumbline-"))  # not in memory: tables may be larger
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    server = ServerStore(spark, f"jdbc:derby:{folder}/server;create=true", POSTGRES, {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
     server.append("ORDERS", _orders(spark, sf_dir))
     rows = server.table("ORDERS", Parts("o_orderkey", 0, 100_000, 4))
     return rows.select(*(F.col(c).alias(c.lower()) for c in rows.columns))

@@ -10,19 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.errors import PlumblineError
 
 
+def one_process(spark: SparkSession) -> bool:
+    """Whether the driver runs all tasks itself."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Only a session in one process may do without: it gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.split("[")[0] == "local":
+        if not one_process(spark):
             raise PlumblineError("spark.checkpoint.dir must name a folder that the cluster shares")
         folder = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """Where a new table may be written."""
+    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back with its own schema: what stands before is never computed again."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
