@@ -229,21 +229,20 @@ class Model:
 
 
 class Table:
-    """Open addressing, probed by vectors of keys."""
+    """Open addressing, probed by vectors of keys; slots hold rows, whose keys are looked up, so that empty ones cost four bytes."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.values = values
+        self.keys, self.values = keys.astype(np.int64), values
         size = 1 << max(4, int(4 * max(1, len(keys)) - 1).bit_length())
         self.mask = size - 1
-        self.keys = np.full(size, -1, np.int64)
-        self.rows = np.full(size, -1, np.int64)
+        self.rows = np.full(size, -1, np.int32)
         left, self.probes = np.arange(len(keys)), 0
         while len(left):
-            slot = self._slot(keys[left], self.probes)
-            free = self.keys[slot] == -1
+            slot = self._slot(self.keys[left], self.probes)
+            free = self.rows[slot] == -1
             taken, who = np.unique(slot[free], return_index=True)
             put = left[free][who]
-            self.keys[taken], self.rows[taken] = keys[put], put
+            self.rows[taken] = put
             left = np.setdiff1d(left, put, assume_unique=True)
             self.probes += 1
 
@@ -253,13 +252,14 @@ class Table:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), -1, np.int64)
-        left = np.arange(len(keys))
+        left = np.arange(len(keys) if len(self.keys) else 0)
         for probe in range(self.probes):
-            slot = self._slot(keys[left], probe)
-            held = self.keys[slot]
-            hit = held == keys[left]
-            out[left[hit]] = self.rows[slot[hit]]
-            left = left[~hit & (held != -1)]
+            row = self.rows[self._slot(keys[left], probe)]
+            full = row >= 0
+            left, row = left[full], row[full]
+            hit = self.keys[row] == keys[left]
+            out[left[hit]] = row[hit]
+            left = left[~hit]
             if not len(left):
                 break
         return out
@@ -296,31 +296,29 @@ def train(docs: DataFrame, sample: Sample = Sample(), limited: bool = True) -> M
     grams = kept["gram"].to_numpy().astype(np.int64)
     model = Model(languages, lang, grams, get["n"], get["total"], get["kinds"])
     if limited and len(grams):
-        halves = []
-        for m, total, kinds in ((get["n"] - get["even"], get["total"] - get["even_total"], get["odd_kinds"]), (get["even"], get["even_total"], get["even_kinds"])):
+        crossed = None
+        for fold, (m, total, kinds) in enumerate(((get["n"] - get["even"], get["total"] - get["even_total"], get["odd_kinds"]), (get["even"], get["even_total"], get["even_kinds"]))):
             some = (m > 1) | (m > 0) & (grams < (3 << 40))
-            halves.append((Model(languages, lang[some], grams[some], m[some], total[some], kinds[some]), set(lang[some].tolist())))
-        bits = texts.mapInArrow(_crossed(halves), "lang string, bits double").groupBy("lang").agg(F.percentile("bits", 1 - OUTSIDE).alias("most"))
+            half = Model(languages, lang[some], grams[some], m[some], total[some], kinds[some])
+            # A task has one of the two models.
+            coded = texts.where(~F.col("even") if fold else F.col("even")).mapInArrow(_crossed(half, set(lang[some].tolist())), "lang string, bits double")
+            crossed = coded if crossed is None else crossed.unionByName(coded)
+        bits = crossed.groupBy("lang").agg(F.percentile("bits", 1 - OUTSIDE).alias("most"))
         found = {number[r["lang"]]: SLACK * r["most"] for r in bits.collect()}
         for i in range(len(languages)):  # a language of one text has the widest limit of the others
             model.limits[i] = found.get(i, max(found.values(), default=np.inf))
     return model
 
 
-def _crossed(halves: list[tuple[Model, set[int]]]):
-    """(lang, bits per byte) of texts by the model of the fold that they aren't in."""
+def _crossed(model: Model, known: set[int]):
+    """(lang, bits per byte) of texts by the model of the fold that they aren't in, which knows some languages."""
+    number = {x: i for i, x in enumerate(model.languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            names, even = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "even"))
-            out = []
-            for fold, (model, known) in enumerate(halves):
-                total, size = code_lengths(model, texts)
-                place = {x: i for i, x in enumerate(model.languages)}
-                for i, name in enumerate(names):
-                    k = place[name]
-                    if even[i] != bool(fold) and k in known and size[i]:
-                        out.append((name, total[i, k] / size[i]))
+            place = [number[x] for x in batch.column(batch.schema.get_field_index("lang")).to_pylist()]
+            total, size = code_lengths(model, texts)
+            out = [(model.languages[k], total[i, k] / size[i]) for i, k in enumerate(place) if k in known and size[i]]
             yield pa.record_batch([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())], names=["lang", "bits"])
 
     return run

@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 
 import numpy as np
@@ -151,3 +152,22 @@ def test_a_language_of_long_texts_only_is_learned(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert min(len(t) for d, t, _ in rows if 100 <= d < 200) > 20_000
     assert {r.lang_pred for r in langid.identified(df).where("doc_id >= 200").collect()} == {"bb"}
+
+
+def test_a_table_is_small_and_finds_what_it_holds():
+    rnd = np.random.default_rng(3)
+    keys = np.unique(rnd.integers(0, 1 << 42, 100_000))
+    table = langid.Table(keys, rnd.random((len(keys), 4)).astype(np.float32))
+    assert table.find(keys).tolist() == list(range(len(keys)))
+    absent = np.setdiff1d(rnd.integers(0, 1 << 42, 50_000), keys)
+    assert (table.find(absent) == -1).all() and len(table.find(keys[:0])) == 0
+    assert (langid.Table(keys[:0], np.zeros((0, 4), np.float32)).find(keys) == -1).all()
+    assert len(pickle.dumps(table)) < 50 * len(keys)  # each worker holds it twice while it is sent
+
+
+def test_a_task_that_learns_limits_has_one_model(spark, monkeypatch):
+    sent, made = [], langid._crossed
+    monkeypatch.setattr(langid, "_crossed", lambda *what: sent.append(what) or made(*what))
+    df = spark.createDataFrame(documents(), "doc_id bigint, text string, lang string")
+    model = langid.train(df)
+    assert np.isfinite(model.limits).all() and [isinstance(what[0], langid.Model) for what in sent] == [True, True]

@@ -1,7 +1,9 @@
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -95,3 +97,10 @@ def test_query_against_the_tokenizer(spark):
 
 def test_empty(spark):
     assert packing.packed(spark.createDataFrame([], "text string, doc_id bigint"), PATH).count() == 0
+
+
+def test_a_task_leaves_no_encoder_in_its_worker(monkeypatch):
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    batch = pa.record_batch([pa.array([1, 2], pa.int64()), pa.array(["some words", None])], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in packing._pieces(PATH, 2, 1024)(iter([batch]))) == 2
+    assert packing.document_encoder.cache_info().currsize == 0
